@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.core.session import read
-from weftgraph.llm import cooccur, groups
+from weftgraph.core.session import cut, read
+from weftgraph.llm import cooccur, groups, mixing, quota, tokens
 from weftgraph.plans.registry import Registry
 
 R = Registry()
@@ -56,3 +56,43 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @R.query("p6_scores", _cooccur_sql("basket_table, item_a, item_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) AS lift"))
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("basket_table", "item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
+
+
+@R.query(
+    "p7_found",
+    """
+    WITH p AS (SELECT DISTINCT id, y FROM graph_nodes WHERE train_idx AND y >= 0 AND id IS NOT NULL),
+    n AS (SELECT count(DISTINCT id) AS n FROM p)
+    SELECT target_set, y FROM sample_targets t, n WHERE
+      (SELECT count(*) FROM p WHERE p.y = t.y) < greatest(min_count, target_share * sample_frac * n) - 0.000001
+    """,
+)
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = quota.sample_quotas(read(spark, d, "graph_nodes"), read(spark, d, "sample_targets"))
+    return report.filter("not met").select("target_set", "y")
+
+
+@R.query("p7_sample")
+def p7_sample(spark: SparkSession, d: str) -> DataFrame:
+    return quota.sample_quotas(read(spark, d, "graph_nodes"), read(spark, d, "sample_targets"))[0]
+
+
+@R.query("p8_ids")
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(read(spark, d, "documents"), ["doc_id"])
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = read(spark, d, "documents")
+    sizes = cut(tokens.count_tokens(docs, ["doc_id", "source"]))
+    return mixing.mix_sources(sizes, read(spark, d, "mix_targets"))
+
+
+@R.query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1].filter("not met").select("mix_name", "source")
+
+
+@R.query("p9_report")
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
