@@ -114,7 +114,8 @@ def sample_quotas(
     repeats in a set.  report: (target_set, y, wanted, available, drawn, shortfall, met), one row
     a target; met is false iff available < D - 1e-6.  Strata (hash classes of `stratum_col`,
     null is one) are kept proportional where that costs no target.  Empty population: nothing
-    drawn, every target with D > 0 unmet.  Other columns are ignored.
+    drawn, every target with D > 0 unmet.  A null floor, share or fraction counts as 0; a null
+    y is a category without ids.  Other columns are ignored.
 
     `bucket_rows`: records that are ranked by one task for a quota.
     """
@@ -142,8 +143,9 @@ def sample_quotas(
         asked = {}
         for r in rows:
             if r["target_set"] == name:
-                want = max(r["min_count"], r["target_share"] * r["sample_frac"] * n)
-                asked[r["y"]] = (math.ceil(r["min_count"] - TOLERANCE), max(0, math.ceil(want - TOLERANCE)), want)
+                floor = r["min_count"] or 0
+                want = float(max(floor, (r["target_share"] or 0.0) * (r["sample_frac"] or 0.0) * n))
+                asked[r["y"]] = (max(0, math.ceil(floor - TOLERANCE)), max(0, math.ceil(want - TOLERANCE)), want)
         got, short = cell_quotas({y: a[:2] for y, a in asked.items()}, cells)
         quotas += [(name, y, s, q) for (y, s), q in got.items() if q > 0]
         report += [(name, y, a[2], available[y], a[1] - short[y], short[y], short[y] == 0) for y, a in asked.items()]
