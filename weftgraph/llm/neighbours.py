@@ -96,7 +96,7 @@ def fit_codebooks(sample: np.ndarray, cells: int, levels: int, beam: int, rounds
         fine.append(book)
     books = Codebooks(coarse, np.stack(fine))
     # Least squares over all fine codewords at once, given the beam-searched codes.
-    _, codes, _ = books.encode(sample, beam, cell)
+    codes = np.concatenate([books.encode(sample[a : a + 1024], beam, cell[a : a + 1024])[1] for a in range(0, len(sample), 1024)])
     width = levels * CODE
     gram, right = np.eye(width, dtype=np.float64) * 1e-2, np.zeros((width, sample.shape[1]))
     at = codes.astype(np.int64) + np.arange(levels) * CODE
