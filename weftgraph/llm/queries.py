@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.core.session import cut, read
-from weftgraph.llm import cooccur, groups, mixing, quota, tokens
+from weftgraph.llm import cooccur, groups, mixing, neighbours, quota, subjects, tokens
 from weftgraph.plans.registry import Registry
 
 R = Registry()
@@ -96,3 +96,56 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @R.query("p9_report")
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
+
+
+_VECTORS = (("graph_nodes", "id", "x"), ("alircd_nodes", "node_id", "node_embeds"))
+_UNIT_SQL = """
+    u_{t} AS (SELECT {i} AS id, min({v}::DOUBLE[])::DOUBLE[64] AS v FROM {t} WHERE {i} IS NOT NULL AND len({v}) = 64
+      AND len(list_filter({v}, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter({v}, lambda c: c <> 0)) > 0 GROUP BY {i}),
+    r_{t} AS (SELECT a.id, b.id AS other, array_cosine_similarity(a.v, b.v) AS cos FROM u_{t} a JOIN u_{t} b ON a.id <> b.id{on}),
+    k_{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) AS r FROM r_{t}) WHERE r <= {k})
+"""
+
+
+def _unit_sql(k: int, on: str = "") -> str:
+    return "WITH " + ", ".join(_UNIT_SQL.format(t=t, i=i, v=v, k=k, on=on) for t, i, v in _VECTORS)
+
+
+@R.query(
+    "p4_found",
+    _unit_sql(3)
+    + " UNION ALL ".join(
+        f"SELECT DISTINCT '{t}' AS vec_table, least(id, other) AS id_a, greatest(id, other) AS id_b FROM k_{t} WHERE cos >= 0.9" for t, _, _ in _VECTORS
+    ),
+)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (
+        neighbours.close_pairs(neighbours.nearest(read(spark, d, t), i, v, k=3, min_cos=0.9)).select(F.lit(t).alias("vec_table"), "id_a", "id_b")
+        for t, i, v in _VECTORS
+    )
+    return a.unionByName(b)
+
+
+@R.query("p4_knn")
+def p4_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar of every vector whose id is divisible by 20, among all vectors."""
+    a, b = (
+        neighbours.nearest(read(spark, d, t), i, v, k=10, queries=F.col("id") % 20 == 0, scan=True).select(F.lit(t).alias("vec_table"), "id", "other", F.round("cos", 6).alias("cos"))
+        for t, i, v in _VECTORS
+    )
+    return a.unionByName(b)
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(read(spark, d, "documents"), read(spark, d, "subject_seeds"), read(spark, d, "subjects"))
+
+
+@R.query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+@R.query("p10_composition")
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents and how much prose of the corpus each subject has."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("part"), 6).alias("mean_part"))

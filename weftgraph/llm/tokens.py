@@ -16,7 +16,6 @@ problem).  The lexicon is a cache: its size and content never change a result.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -30,7 +29,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.core.session import checkpoint_dir, collect_bounded
+from weftgraph.core.session import collect_bounded
+from weftgraph.core.shipping import put_shared
 
 DEFAULT_DIR = "/opt/tokenizers"
 #: Unicode White_Space, spelled out: libraries differ in what \s holds.
@@ -286,20 +286,8 @@ def frequent_words(texts: DataFrame, text_col: str, size: int, least: int = 3) -
 def ship_lexicon(spark: SparkSession, words: list[str], ranks: dict[bytes, int]) -> str:
     """Write the lexicon to the shared folder, hand it to all executors; returns its name there."""
     blob = compile_lexicon(words, ranks)
-    name = f"weft-lexicon-{hashlib.sha256(blob).hexdigest()[:16]}.bin"
-    sc = spark.sparkContext
-    jvm = sc._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        part = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}.part")
-        out = fs.create(part, True)
-        try:
-            out.write(bytearray(blob))
-        finally:
-            out.close()
-        fs.rename(part, path)
-    sc.addFile(path.toString())
+    name, path = put_shared(spark, "weft-lexicon", ".bin", blob)
+    spark.sparkContext.addFile(path)
     return name
 
 
