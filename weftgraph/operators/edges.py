@@ -54,7 +54,8 @@ def add_remaining_self_loops(edges: DataFrame, nodes: DataFrame, fill: float = 1
 
 
 def transpose(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    swap = {"src": "dst", "dst": "src"}
+    return edges.select(*[F.col(c).alias(swap.get(c, c)) for c in edges.columns])
 
 
 def to_undirected(edges: DataFrame, reduce: str = "add") -> DataFrame:

@@ -1,5 +1,5 @@
 """Registered queries, one registry a module."""
 
-from weftgraph.plans import data_quality
+from weftgraph.plans import data_quality, structure
 
-REGISTRIES = [data_quality.R]
+REGISTRIES = [data_quality.R, structure.R]
