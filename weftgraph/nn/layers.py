@@ -546,7 +546,7 @@ def jumping_knowledge(layers: list[DataFrame], mode: str = "cat") -> DataFrame:
     out = layers[0].select("id", "x")
     for t in layers[1:]:
         j = out.join(t.select("id", F.col("x").alias("y")), "id")
-        out = j.select("id", (F.concat("x", "y") if mode == "cat" else F.zip_with("x", "y", F.greatest)).alias("x"))
+        out = j.select("id", (F.concat("x", "y") if mode == "cat" else F.zip_with("x", "y", lambda p, q: F.greatest(p, q))).alias("x"))
     return out
 
 

@@ -88,7 +88,7 @@ def knn_blocked(nodes: DataFrame, queries: DataFrame, k: int, metric: str = "cos
     """
     keys = [batch] if batch else []
     items = nodes.select(*keys, F.col("id").alias("other"), F.col("x").alias("__y"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__b"))
-    q = queries.select(*keys, "id", F.col("x").alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("__b"))
+    q = queries.select(*keys, "id", F.col("x").alias("__x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("__b"))
     j = q.join(items, [*keys, "__b"])
     if not include_self:
         j = j.filter("id <> other")
