@@ -8,10 +8,11 @@ the vector.  Records with a missing part take part in the fit with the part they
   sufficient statistics; those are summed on the cluster and K x (1 + types + 2 x dims)
   numbers reach the driver, whatever the size of the data.
 * Groups: records of one session (or, without a session, of one span of time) share a
-  mixing vector and a shift.  Both are sums over the group, gathered per task first, so a
-  group with a third of all rows sends one row a task.
+  mixing vector, a distribution of types and a shift.  All are sums over the group, gathered
+  per task first, so a group with a third of all rows sends one row a task.
 * Fill: a missing type becomes the mode of its conditional distribution, a missing vector
-  its conditional expectation, given the part that is there, the group's mixing and shift.
+  its conditional expectation, given the part that is there, the group's mixing, types and
+  shift.
   A mask column marks each filled value.
 """
 
@@ -145,7 +146,8 @@ def fit_mixture(
 
 
 def _group_partials(model: Mixture, n_dims: int, most: int = 4096):
-    """One row a group and task: mixing counts, sum of precision-weighted residuals, precision."""
+    """One row a group and task: mixing counts, sum of precision-weighted residuals, precision, type counts."""
+    n_types = model.theta.shape[1]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
@@ -162,7 +164,9 @@ def _group_partials(model: Mixture, n_dims: int, most: int = 4096):
             have = ~np.isnan(x[:, 0])
             prec = np.where(have[:, None], r @ inv, 0.0)
             resid = np.where(have[:, None], np.nan_to_num(x) * (r @ inv) - r @ (model.mean * inv), 0.0)
-            stats = np.concatenate([r, resid, prec], axis=1)
+            kinds = np.zeros((len(code), n_types))
+            kinds[np.flatnonzero(code >= 0), code[code >= 0]] = 1.0
+            stats = np.concatenate([r, resid, prec, kinds], axis=1)
             keys, at = np.unique(pdf["grp"].to_numpy(dtype=str), return_inverse=True)
             total = np.zeros((len(keys), stats.shape[1]))
             np.add.at(total, at, stats)
@@ -195,21 +199,24 @@ def _shift_variance(groups: DataFrame, k: int, n_dims: int) -> np.ndarray:
 
 def _filler(model: Mixture, types: list[str], n_dims: int, strength: float):
     k = len(model.share)
+    overall = model.share @ model.theta
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if not len(pdf):
                 continue
             code, x = pdf["code"].to_numpy(), _matrix(pdf["x"], n_dims)
-            stats = np.zeros((len(pdf), k + 2 * n_dims))
+            stats = np.zeros((len(pdf), k + 2 * n_dims + len(types)))
             for i, s in enumerate(pdf["stats"]):
                 if s is not None:
                     stats[i] = s
-            counts, a, b = stats[:, :k], stats[:, k : k + n_dims], stats[:, k + n_dims :]
+            counts, a, b, kinds = np.split(stats, [k, k + n_dims, k + 2 * n_dims], axis=1)
             prior = (counts + strength * model.share) / (counts.sum(1, keepdims=True) + strength)
             shift = a * model.shift_var / (1.0 + b * model.shift_var)
             r = model.responsibilities(code, x, prior)
-            best = (r @ model.theta).argmax(1)
+            # The group's types, shrunk to the overall ones, times what the vector says beyond them.
+            own = (kinds + strength * overall) / (kinds.sum(1, keepdims=True) + strength)
+            best = (own * (model.responsibilities(code, x) @ model.theta) / overall).argmax(1)
             expected = r @ model.mean + shift
             out = pdf.drop(columns=["stats", "code", "x"])
             out["fill_type"] = [types[c] if m else None for c, m in zip(best, code < 0)]
@@ -231,7 +238,7 @@ def fill_missing(
     components: int = 12,
     iterations: int = 8,
     span_s: int = 21_600,
-    strength: float = 4.0,
+    strength: float = 2.0,
     max_types: int = 1_000,
 ) -> DataFrame:
     """(id, group, time, type, vector, <type>_filled, <vector>_filled): a row for each row of `df`.

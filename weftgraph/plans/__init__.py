@@ -1,5 +1,5 @@
 """Registered queries, one registry a module."""
 
-from weftgraph.plans import data_quality, features, layers, sampling, structure
+from weftgraph.plans import data_quality, features, layers, sampling, streams, structure
 
-REGISTRIES = [data_quality.R, structure.R, sampling.R, features.R, layers.R]
+REGISTRIES = [data_quality.R, structure.R, sampling.R, features.R, layers.R, streams.R]
