@@ -13,7 +13,8 @@
    W is solved inside the tasks; what leaves a task is its sums for H, at most one row a
    term and language.
 3. A sentence deals with a subject if the terms whose mass is mostly this subject's carry
-   it; a whole sentence that is a known term speaks for itself.  A document has the
+   it; a whole sentence that is a known term, clearly a subject's or clearly none's, speaks
+   for itself.  A document has the
    subjects that reach `share` of its prose sentences.
 
 Everything covers all documents: term counts, the fit, and the assignment.
@@ -245,28 +246,31 @@ def fit_topics(
     base = (corpus / corpus.sum(1, keepdims=True))[:, None, :]
     h = np.concatenate([0.95 * anchors + 0.05 * base, base], axis=1)
     h /= h.sum(2, keepdims=True)
-    num = h
+    num, rest = h, kind != WORD
     for turn in range(first + then):
-        words_only = turn < first
-        num = _gather(vectors, h.shape, words_only, rounds, h, kind_cast)
+        if turn == first:
+            # Terms that took no part so far start alike in all components: what the words have
+            # found out about their documents decides where they go.
+            h[:, :, ~rest] *= base[:, :, ~rest].sum(2, keepdims=True) / np.maximum(h[:, :, ~rest].sum(2, keepdims=True), 1e-30)
+            h[:, :, rest] = base[:, :, rest]
+        num = _gather(vectors, h.shape, turn < first, rounds, h, kind_cast)
         mass = num.sum(2, keepdims=True) + 1e-9
         new = num + 1e-9
         new[:, :k] += anchor * mass[:, :k] * anchors
         new += 0.002 * mass * base
-        if words_only:  # terms that take no part yet keep their place
-            new[:, :, kind != WORD] = (h * mass)[:, :, kind != WORD]
         h = new / new.sum(2, keepdims=True)
     model.h = h
     whole = num.sum(0)
     return model, (whole / np.maximum(whole.sum(0), 1e-30)).T[:, :k]
 
 
-def _assign(keys_cast, subjects: list[str], share: float, sure: float, votes: float):
+def _assign(keys_cast, subjects: list[str], share: float, sure: float, votes: float, common: float):
     """(doc_id, t, n) -> (doc_id, subject, part)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, affinity = keys_cast.value
         clear = np.where(affinity >= sure, affinity, 0)
+        said = affinity.sum(1) <= common  # terms that are no subject's
         for pdf in parts:
             ids, names, part = [], [], []
             for doc, t, n in zip(pdf["doc_id"], pdf["t"], pdf["n"]):
@@ -277,11 +281,12 @@ def _assign(keys_cast, subjects: list[str], share: float, sure: float, votes: fl
                 known = keys[at] == t
                 score = clear[at] * known[:, None]
                 start = np.cumsum(n) - n
-                whole, is_whole = score[start], known[start]
+                whole, none = score[start], known[start] & said[at[start]]
+                is_whole = whole.max(1) >= sure
                 score[start] = 0
                 voted = np.add.reduceat(score, start, axis=0)
                 best = np.where(is_whole, whole.argmax(1), voted.argmax(1))
-                top = np.where(is_whole, whole.max(1) >= sure, voted.max(1) >= votes)
+                top = is_whole | ((voted.max(1) >= votes) & ~none)
                 of = np.bincount(best[top], minlength=len(subjects)) / len(n)
                 for s in np.flatnonzero(of >= share - 1e-9):
                     ids.append(doc)
@@ -299,6 +304,7 @@ def subject_areas(
     share: float = 0.2,
     sure: float = 0.5,
     votes: float = 0.9,
+    common: float = 0.1,
     max_terms: int = 60_000,
     min_docs: int = 5,
     max_seeds: int = 100_000,
@@ -313,7 +319,8 @@ def subject_areas(
     `max_terms`: size of the vocabulary (terms of most documents first, at least `min_docs`
     documents); it bounds what is broadcast and what the driver holds, whatever the corpus.
     `sure`: share of a term's mass from which it counts for a subject; `votes`: sum of these
-    shares that a sentence needs.
+    shares that a sentence needs; `common`: share below which all subjects together leave a
+    known whole sentence to none, whatever its words.
     """
     names = sorted({r[0] for r in collect_bounded(subjects.select("subject").filter("subject is not null"), max_seeds, "subjects")})
     given = collect_bounded(seeds.select("subject", "lang", "text").na.drop(), max_seeds, "subject_seeds")
@@ -322,4 +329,4 @@ def subject_areas(
     split = cut(own.filter("doc_id is not null and text is not null").mapInPandas(_split, "doc_id bigint, t array<bigint>, n array<int>"))
     model, affinity = fit_topics(split, given, names, split.count(), max_terms, min_docs)
     cast = docs.sparkSession.sparkContext.broadcast((model.keys, affinity.astype(np.float32)))
-    return split.mapInPandas(_assign(cast, names, share, sure, votes), "doc_id bigint, subject string, part double").dropDuplicates(["doc_id", "subject"])
+    return split.mapInPandas(_assign(cast, names, share, sure, votes, common), "doc_id bigint, subject string, part double").dropDuplicates(["doc_id", "subject"])
