@@ -13,8 +13,16 @@ Spark = SparkSession
 
 
 def events(spark: Spark, d: str) -> DataFrame:
+    """`ts` as an instant: a time without zone is UTC, whatever the session's zone."""
     schema = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    # A stream watches a folder: the table's own, or the one that its only file lies in.
+    reader = spark.readStream.schema(schema)
+    s = reader.parquet(f"{d}/events.parquet") if whole else reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    if schema["ts"].dataType.typeName() == "timestamp_ntz":
+        s = s.withColumn("ts", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")))
+    return s
 
 
 def _flat(df: DataFrame) -> DataFrame:
