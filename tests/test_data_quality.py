@@ -82,10 +82,12 @@ def test_bisection_keeps_good_stretches():
     lines = ["1,item,1:2:3"] * 500
     for i in (0, 77, 78, 499):
         lines[i] = "bad"
-    good, bad = [], []
-    R._walk(pa.array(lines), "node", RULES, 0, good, bad)
+    lines[5] = '2,"f",'
+    where, columns, bad = R._walk(pa.array(lines), "node", RULES)
     assert sorted(bad) == [(i, "columns") for i in (0, 77, 78, 499)]
-    assert sum(n for _, n, _ in good) == 496
+    assert sorted(where) == [i for i in range(500) if i not in (0, 77, 78, 499)]
+    at = list(where).index(5)
+    assert (columns["node_id"][at].as_py(), columns["node_type"][at].as_py(), columns["node_embeds"][at].as_py()) == (2, "f", [])
 
 
 @settings(max_examples=300, deadline=None)

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -236,29 +237,67 @@ def parse_block(lines: pa.Array, kind: str, rules: Rules) -> dict[str, pa.Array]
     raise BadBlock
 
 
-def _walk(lines: pa.Array, kind: str, rules: Rules, at: int, good: list, bad: list) -> None:
-    """Bisect [at, at + len) : columns of good stretches, (position, reason) of bad lines."""
-    stack = [(at, lines)]
-    while stack:
-        at, part = stack.pop()
-        try:
-            if part.null_count:
-                raise BadBlock
-            good.append((at, len(part), parse_block(part, kind, rules)))
-            continue
-        except BadBlock:
-            pass
-        if len(part) > 1:
-            half = len(part) // 2
-            stack.append((at + half, part.slice(half)))
-            stack.append((at, part.slice(0, half)))
-            continue
-        reason, record = diagnose(part[0].as_py(), kind, rules)
-        if reason is None:  # the columnar path is stricter than need be: the scanner decides
-            columns = {k: pa.array([v], _ARROW.field(k).type) for k, v in record.items()}
-            good.append((at, 1, columns))
+LEAF = 8  # lines that are diagnosed rather than bisected further: a block costs as much as some lines
+SMALLEST, LARGEST = 64, 8192  # blocks start smaller where many fail, larger where they pass
+
+
+def _walk(lines: pa.Array, kind: str | None, rules: Rules) -> tuple[list[int], dict[str, pa.Array], list[tuple[int, str]]]:
+    """(positions of valid lines, their columns, (position, reason) of bad lines)."""
+    runs: list[tuple[np.ndarray, dict[str, pa.Array]]] = []
+    singles: list[tuple[int, dict]] = []
+    bad: list[tuple[int, str]] = []
+
+    def settle(at: int, part: pa.Array) -> bool:
+        """Parse a block, bisecting it as far as need be; whether it passed as a whole."""
+        passed, stack = True, [(at, part)]
+        while stack:
+            at, part = stack.pop()
+            try:
+                if part.null_count:
+                    raise BadBlock
+                runs.append((np.arange(at, at + len(part)), parse_block(part, kind, rules)))
+                continue
+            except BadBlock:
+                passed = False
+            if len(part) > LEAF:
+                half = len(part) // 2
+                stack += [(at + half, part.slice(half)), (at, part.slice(0, half))]
+                continue
+            for i, line in enumerate(part.to_pylist()):
+                reason, record = diagnose(line, kind, rules)
+                if reason is None:
+                    singles.append((at + i, record))
+                else:
+                    bad.append((at + i, reason))
+        return passed
+
+    at, size = 0, 512
+    while at < len(lines):
+        n = min(size, len(lines) - at)
+        size = min(size * 2, LARGEST) if settle(at, lines.slice(at, n)) else max(size // 2, SMALLEST)
+        at += n
+    if singles:
+        names = singles[0][1]
+        columns = {k: pa.array([r[k] for _, r in singles], _ARROW.field(k).type) for k in names}
+        runs.append((np.array([at for at, _ in singles]), columns))
+    if not runs:
+        return [], {}, bad
+    where = np.concatenate([r for r, _ in runs])
+    return where, {k: pa.concat_arrays([c[k] for _, c in runs]) for k in runs[0][1]}, bad
+
+
+def _rows(part: pa.Table, kind: str | None, reasons: pa.Array | None, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    n, arrays = part.num_rows, []
+    for f in _ARROW:
+        if f.name in ("file_name", "line_no"):
+            arrays.append(pa.concat_arrays(part[f.name].cast(f.type).chunks))
+        elif f.name == "kind":
+            arrays.append(pa.array([kind] * n, pa.string()))
+        elif f.name == "reason" and reasons is not None:
+            arrays.append(reasons)
         else:
-            bad.append((at, reason))
+            arrays.append(columns.get(f.name, pa.nulls(n, f.type)))
+    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
 def _parser(rules: Rules):
@@ -272,28 +311,11 @@ def _parser(rules: Rules):
                 part = table.filter(mask).combine_chunks()
                 if not part.num_rows:
                     continue
-                lines = pa.concat_arrays(part["line"].chunks)
-                good, bad = [], []
-                _walk(lines, kind, rules, 0, good, bad)
-                for at, n, columns in good:
-                    yield _batch(part.slice(at, n), kind, None, columns)
+                where, columns, bad = _walk(pa.concat_arrays(part["line"].chunks), kind, rules)
+                if len(where):
+                    yield _rows(part.take(pa.array(where)), kind, None, columns)
                 if bad:
-                    rows = part.take(pa.array([at for at, _ in bad]))
-                    yield _batch(rows, kind, pa.array([r for _, r in bad]), {})
-
-    def _batch(part: pa.Table, kind, reason, columns) -> pa.RecordBatch:
-        n = part.num_rows
-        arrays = []
-        for f in _ARROW:
-            if f.name in ("file_name", "line_no"):
-                arrays.append(pa.concat_arrays(part[f.name].cast(f.type).chunks))
-            elif f.name == "kind":
-                arrays.append(pa.array([kind] * n, pa.string()))
-            elif f.name == "reason" and reason is not None:
-                arrays.append(reason)
-            else:
-                arrays.append(columns.get(f.name, pa.nulls(n, f.type)))
-        return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+                    yield _rows(part.take(pa.array([at for at, _ in bad])), kind, pa.array([r for _, r in bad]), {})
 
     return run
 
