@@ -229,3 +229,26 @@ def block_model(spark, sizes: list[int], probs: list[list[float]], seed: int) ->
             part = number.select((s + starts[i]).alias("src"), (d + starts[j]).alias("dst")).distinct()
             out = part if out is None else out.unionByName(part)
     return out
+
+
+def link_batches(pairs: DataFrame, size: int, seed: int, negatives: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((batch_id, src, dst, label), seeds (batch_id, id)) of seed edges (src, dst) in shuffled batches.
+
+    Without `negatives` labels are 1; with them (src, dst) they join with label 0 - each a pair of its
+    own - and are shuffled in.
+    """
+    rows = pairs.select("src", "dst", F.lit(1).alias("label"))
+    if negatives is not None:
+        rows = rows.unionByName(negatives.select("src", "dst", F.lit(0).alias("label")))
+    k = F.struct(order_key(seed, F.col("src"), F.col("dst")).alias("h"), "src", "dst", "label")
+    rows = with_dense_ids(rows.distinct().withColumn("__k", k), "__k", "pos")
+    rows = cut(rows.select(F.floor(F.col("pos") / size).cast("bigint").alias("batch_id"), "src", "dst", "label"))
+    ends = rows.select("batch_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return rows, ends
+
+
+def drop_walked(edges: DataFrame, roots: DataFrame, length: int, seed: int) -> DataFrame:
+    """Edges that no walk from `roots` (walk_id, id) went along."""
+    w = random_walks(edges, roots, length, seed)
+    a, b = w.select("walk_id", "step", F.col("id").alias("src")), w.select("walk_id", (F.col("step") - 1).alias("step"), F.col("id").alias("dst"))
+    return edges.join(a.join(b, ["walk_id", "step"]).select("src", "dst").distinct(), ["src", "dst"], "left_anti")

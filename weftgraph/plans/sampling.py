@@ -209,6 +209,31 @@ def neighbour_batches_induced(spark: Spark, d: str) -> DataFrame:
     return _batched(spark, d, False)[1].select("batch_id", "src", "dst", "eid")
 
 
+def _two_hops(seeds: str, size: int, f1: int, f2: int, seed: int) -> tuple[str, ...]:
+    return (
+        _D, f"b0 AS (SELECT (row_number() OVER (ORDER BY id) - 1) // {size} AS batch_id, id FROM ({seeds}))",
+        f"e1 AS (SELECT * FROM (SELECT b.batch_id, d.src, d.dst, d.eid, 1 AS hop, {_rank('b.batch_id, d.dst', seed + 1, 'b.batch_id', 'eid')} AS r FROM b0 b JOIN d ON d.dst = b.id) WHERE r <= {f1})",
+        "b1 AS (SELECT DISTINCT batch_id, src AS id FROM e1 EXCEPT SELECT batch_id, id FROM b0)",
+        f"e2 AS (SELECT * FROM (SELECT b.batch_id, d.src, d.dst, d.eid, 2 AS hop, {_rank('b.batch_id, d.dst', seed + 2, 'b.batch_id', 'eid')} AS r FROM b1 b JOIN d ON d.dst = b.id) WHERE r <= {f2})",
+    )
+
+
+_TRAIN = "SELECT DISTINCT id FROM graph_nodes WHERE train_idx AND id IS NOT NULL"
+
+
+@R.query("neighbour_batches_train", V.ctes("e", more=_two_hops(_TRAIN, 1024, 25, 10, 17)) + "SELECT batch_id, src, dst, eid, hop FROM e1 UNION ALL SELECT batch_id, src, dst, eid, hop FROM e2")
+def neighbour_batches_train(spark: Spark, d: str) -> DataFrame:
+    """The sampling of one training epoch: fan-out 25 and 10, batches of 1,024 training nodes."""
+    seeds = read(spark, d, "graph_nodes").filter("train_idx and id is not null").select("id").distinct()
+    return P.neighbour_batches(numbered(spark, d), P.batches(seeds, 1024), [25, 10], 17)[1]
+
+
+@R.query("neighbour_batches_full", V.ctes("e", "n", more=(_D, "b0 AS (SELECT (row_number() OVER (ORDER BY id) - 1) // 1024 AS batch_id, id FROM n)")) + "SELECT b.batch_id, d.src, d.dst, d.eid, 1 AS hop FROM b0 b JOIN d ON d.dst = b.id")
+def neighbour_batches_full(spark: Spark, d: str) -> DataFrame:
+    """All in-neighbours of all nodes, in batches of 1,024."""
+    return P.neighbour_batches(numbered(spark, d), P.batches(V.nodes(spark, d), 1024), [-1], 17)[1]
+
+
 _A = "ad AS (SELECT *, row_number() OVER (ORDER BY rel, src, dst) - 1 AS eid FROM (SELECT DISTINCT edge_type AS rel, src, dst FROM a))"
 
 
@@ -359,6 +384,35 @@ def block_model(spark: Spark, d: str) -> DataFrame:
     return P.block_model(spark, sizes, [[0.05 if i == j else 0.005 for j in range(len(sizes))] for i in range(len(sizes))], 81)
 
 
+_LB = f"lb AS (SELECT src, dst, 1 AS label, (row_number() OVER (ORDER BY {key(57, 'src', 'dst')}, src, dst) - 1) // 256 AS batch_id FROM d)"
+
+
+@R.query("link_batches", V.ctes("e", more=(_D, _LB)) + "SELECT batch_id, src, dst, label FROM lb")
+def link_batches(spark: Spark, d: str) -> DataFrame:
+    return P.link_batches(V.edges(spark, d).select("src", "dst"), 256, 57)[0]
+
+
+@R.query(
+    "link_batches_neighbours",
+    V.ctes("e", more=(_D, _LB, "b0 AS (SELECT DISTINCT batch_id, id FROM (SELECT batch_id, src AS id FROM lb UNION ALL SELECT batch_id, dst FROM lb))",
+        f"e1 AS (SELECT * FROM (SELECT b.batch_id, d.src, d.dst, d.eid, {_rank('b.batch_id, d.dst', 59, 'b.batch_id', 'eid')} AS r FROM b0 b JOIN d ON d.dst = b.id) WHERE r <= 4)"))
+    + "SELECT batch_id, src, dst, eid FROM e1",
+)
+def link_batches_neighbours(spark: Spark, d: str) -> DataFrame:
+    seeds = P.link_batches(V.edges(spark, d).select("src", "dst"), 256, 57)[1]
+    return P.neighbour_batches(numbered(spark, d), seeds, [4], 58)[1].select("batch_id", "src", "dst", "eid")
+
+
+@R.query(
+    "drop_walked_edges",
+    V.ctes("e", more=("n AS (SELECT DISTINCT node_id AS id FROM anchor_nodes WHERE scope = 'graph')", *_NB, *_walk(2, 74), f"st AS ({_steps(2)})"))
+    + "SELECT src, dst, w FROM e WHERE NOT EXISTS (SELECT 1 FROM st a JOIN st b ON b.walk_id = a.walk_id AND b.step = a.step + 1 WHERE a.id = e.src AND b.id = e.dst)",
+)
+def drop_walked_edges(spark: Spark, d: str) -> DataFrame:
+    roots = anchors(spark, d).select(F.col("id").alias("walk_id"), "id")
+    return P.drop_walked(V.edges(spark, d), roots, 2, 74).select("src", "dst", "w")
+
+
 # --- splits -------------------------------------------------------------------------
 
 _Y = f"r AS (SELECT id, y, row_number() OVER (ORDER BY {key(91, 'id')}, id) - 1 AS pos, count(*) OVER () AS n FROM y)"
