@@ -44,6 +44,12 @@ def test_profile_against_brute_force(table):
         assert x["p50"] == ok[math.ceil(0.5 * len(ok)) - 1] and x["p90"] == ok[math.ceil(0.9 * len(ok)) - 1]
 
 
+def test_keys_may_have_inner_names(table):
+    df = table([(1, 2, 5.0), (1, 2, 7.0)], "n bigint, pid bigint, v double")
+    got = K.profile_by_key(df, ["n", "pid"], "v", {"p50": 0.5}).first()
+    assert (got["n"], got["pid"], got["n_rows"], got["p50"]) == (1, 2, 2, 5.0)
+
+
 def test_profile_of_nothing(table):
     assert K.profile_by_key(table([], "k bigint, v double"), ["k"], "v", {"p50": 0.5}).count() == 0
 
@@ -51,7 +57,7 @@ def test_profile_of_nothing(table):
 def test_hot_keys_count_all_rows(table):
     e = table([(1, 2)] * 3 + [(None, 5), (3, None)], "s bigint, d bigint")
     p = K.profile_by_key(K.both_sides(e, "s", "d"), ["side", "node_id"], "value")
-    hot = K.hot_keys(p, e.agg(F.count(F.lit(1)).alias("n_all")), 0.4)
+    hot = K.hot_keys(p, e.count(), 0.4)
     assert sorted((r["side"], r["node_id"]) for r in hot.collect()) == [("dst", 2), ("src", 1)]
 
 

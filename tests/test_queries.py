@@ -55,3 +55,12 @@ def test_every_sql_has_its_query():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 180
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_sql_text(spark):
+    from weftgraph.plans.sql import register
+
+    register(spark, DATA, ["graph_nodes", "nation"])
+    got = spark.sql("SELECT e.dst, sum(e.w) AS s FROM g_edges e JOIN g_labels y ON y.id = e.src GROUP BY e.dst")
+    assert got.count() > 0 and spark.sql("SELECT count(*) FROM nation").first()[0] == 25

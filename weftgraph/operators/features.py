@@ -170,13 +170,14 @@ def degree_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_dense_ids(d, "k", "new").select("id", "new")
 
 
-def class_preference(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def class_preference(edges: DataFrame, labels: DataFrame, max_classes: int = 1_000) -> DataFrame:
     """(cu, cv, mean, dev): per class of source, mean and sample deviation over its nodes of the share of neighbours in each class."""
     ls, ld = labels.select(F.col("id").alias("src"), F.col("y").alias("cu")), labels.select(F.col("id").alias("dst"), F.col("y").alias("cv"))
     per = edges.select("src", "dst").join(ls, "src").join(ld, "dst").groupBy("src", "cu", "cv").agg(F.count(F.lit(1)).alias("n"))
     total = per.groupBy("src", "cu").agg(F.sum("n").alias("t"))
-    classes = labels.select(F.col("y").alias("cv")).distinct()  # the classes: a handful
-    grid = total.crossJoin(F.broadcast(classes)).join(per.select("src", "cv", "n"), ["src", "cv"], "left")
+    classes = collect_bounded(labels.select("y").filter("y is not null").distinct(), max_classes, "classes")
+    every = F.explode(F.array(*[F.lit(r["y"]) for r in classes]).cast("array<bigint>"))
+    grid = total.withColumn("cv", every).join(per.select("src", "cv", "n"), ["src", "cv"], "left")
     share = F.coalesce(F.col("n"), F.lit(0)) / F.col("t")
     return grid.groupBy("cu", "cv").agg(F.avg(share).alias("mean"), F.stddev_samp(share).alias("dev"))
 

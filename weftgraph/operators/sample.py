@@ -69,14 +69,20 @@ def batches(ids: DataFrame, size: int, seed: int | None = None) -> DataFrame:
 
 
 def _out_degrees(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, deg) and (id, pos, to): the distinct out-neighbours of a node, numbered by id.
+    """(id, deg) and (id, pos, to): the distinct out-neighbours of a node, numbered by id."""
+    return _numbered(edges.select(F.col("src").alias("id"), F.col("dst").alias("to")), ["id"])
 
-    The numbering is a window by node, on distinct pairs; its largest group is a hub's
-    neighbourhood, which a sort handles out of core.
+
+def _numbered(pairs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((keys, deg), (keys, to, pos)): distinct `to` of each key, numbered from 0.
+
+    Places in one distributed order of (keys, to), less the first place of the key: a hub's
+    neighbourhood lies in as many range partitions as it needs.
     """
-    e = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
-    e = cut(e.withColumn("pos", (F.row_number().over(Window.partitionBy("id").orderBy("to")) - 1).cast("bigint")))
-    return cut(e.groupBy("id").agg(F.count(F.lit(1)).alias("deg"))), e
+    d = cut(with_dense_ids(pairs.select(*keys, "to").distinct().withColumn("__k", F.struct(*keys, "to")), "__k", "__g").drop("__k"))
+    deg = cut(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("deg"), F.min("__g").alias("__first")))
+    e = cut(d.join(deg, keys).select(*keys, "to", (F.col("__g") - F.col("__first")).alias("pos")))
+    return deg.drop("__first"), e
 
 
 def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: int, restart: float = 0.0) -> DataFrame:
@@ -152,9 +158,7 @@ def node2vec_walks(edges: DataFrame, starts: DataFrame, length: int, p: float, q
 
 def metapath_walks(edges: DataFrame, starts: DataFrame, relations: list[str], length: int, seed: int) -> DataFrame:
     """(walk_id, step, id): step s follows relation s mod len(relations); edges are (src, dst, rel).  A walk ends at a sink."""
-    e = edges.select("rel", F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
-    e = cut(e.withColumn("pos", (F.row_number().over(Window.partitionBy("rel", "id").orderBy("to")) - 1).cast("bigint")))
-    deg = cut(e.groupBy("rel", "id").agg(F.count(F.lit(1)).alias("deg")))
+    deg, e = _numbered(edges.select("rel", F.col("src").alias("id"), F.col("dst").alias("to")), ["rel", "id"])
     cur = starts.select("walk_id", "id")
     out = cur.select("walk_id", F.lit(0).alias("step"), "id")
     for s in range(1, length + 1):

@@ -75,14 +75,15 @@ def profile_by_key(
     fractions in (0, 1].  Other columns are ignored.
     """
     v = F.col(value).cast("double")
-    have = df.filter(" and ".join(f"`{k}` is not null" for k in keys)).select(
-        *keys, F.when(~F.isnan(v), v).alias("__v")
-    )
-    weighted = compress(have, keys, "__v")
-    if not points:
-        return _profile(weighted, keys, "__v")
-    weighted = cut(weighted)
-    return _profile(weighted, keys, "__v").join(percentiles(weighted, keys, "__v", points), keys, "left")
+    own = [f"__k{i}" for i in range(len(keys))]  # keys may have any name
+    have = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.when(~F.isnan(v), v).alias("__v"))
+    weighted = compress(have.na.drop(subset=own), own, "__v")
+    if points:
+        weighted = cut(weighted)
+    out = _profile(weighted, own, "__v")
+    if points:
+        out = out.join(percentiles(weighted, own, "__v", points), own, "left")
+    return out.withColumnsRenamed(dict(zip(own, keys)))
 
 
 def both_sides(edges: DataFrame, src: str, dst: str, value: Column | None = None) -> DataFrame:
@@ -95,6 +96,6 @@ def both_sides(edges: DataFrame, src: str, dst: str, value: Column | None = None
     return edges.select(v.alias("value"), F.explode(ends).alias("e")).select("e.side", "e.node_id", "value")
 
 
-def hot_keys(profile: DataFrame, n_rows: DataFrame, share: float = 0.02) -> DataFrame:
-    """Keys of `profile` that hold at least `share` of all rows; `n_rows` is one row (n_all)."""
-    return profile.crossJoin(F.broadcast(n_rows)).filter(F.col("n_rows") >= F.col("n_all") * F.lit(share))
+def hot_keys(profile: DataFrame, n_rows: int, share: float = 0.02) -> DataFrame:
+    """Keys of `profile` that hold at least `share` of all `n_rows` rows of their table."""
+    return profile.filter(F.col("n_rows") >= F.lit(share * n_rows))

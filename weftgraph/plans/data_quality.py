@@ -111,12 +111,12 @@ def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
 _TABLES = (("graph_edges", "src", "dst", "w"), ("alircd_edges", "source_id", "dest_id", None))
 
 
-def _profiles(spark: SparkSession, d: str, points: dict[str, float] | None = None) -> list[tuple[str, DataFrame, DataFrame]]:
+def _profiles(spark: SparkSession, d: str, points: dict[str, float] | None = None) -> list[tuple[str, DataFrame, int]]:
     out = []
     for table, src, dst, value in _TABLES:
         edges = read(spark, d, table)
         sides = skew.both_sides(edges, src, dst, F.col(value) if value else None)
-        out.append((table, skew.profile_by_key(sides, ["side", "node_id"], "value", points), edges.agg(F.count(F.lit(1)).alias("n_all"))))
+        out.append((table, skew.profile_by_key(sides, ["side", "node_id"], "value", points), edges.count()))
     return out
 
 

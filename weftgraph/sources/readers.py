@@ -116,7 +116,7 @@ def adjacency_json(spark: SparkSession, path: str, features: str = "features", l
     """One JSON object with per-node arrays and adjacency lists."""
     j = spark.read.option("multiLine", True).json(path)
     nodes = j.select(F.posexplode(F.arrays_zip(features, labels)).alias("id", "z")).select(F.col("id").cast("bigint"), F.col(f"z.{features}").cast("array<double>").alias("x"), F.col(f"z.{labels}").cast("bigint").alias("y"))
-    e = j.select(F.posexplode(links).alias("src", "to")).select(F.col("src").cast("bigint"), F.explode("to").cast("bigint").alias("dst"))
+    e = j.select(F.posexplode(links).alias("src", "to")).select("src", F.explode("to").alias("dst")).select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
     return Graph(nodes, e)
 
 
