@@ -158,9 +158,9 @@ def _score(books: Codebooks, k: int, shortlist: int, min_cos: float):
         out, step = [], max(1, 4_000_000 // len(items))
         for a in range(0, len(q), step):
             part = q[a : a + step]
-            score = (part @ books.coarse[cells].T)[:, of_cell]
+            score = np.take(part @ books.coarse[cells].T, of_cell, axis=1)
             for level in range(levels):
-                score += (part @ books.fine[level].T)[:, codes[:, level]]
+                score += np.take(part @ books.fine[level].T, codes[:, level], axis=1)
             score /= norm
             top = np.argpartition(-score, short - 1, axis=1)[:, :short] if short < len(items) else np.tile(np.arange(len(items)), (len(part), 1))
             exact = np.einsum("qd,qsd->qs", part, x[top])
