@@ -22,38 +22,39 @@ def brute(nodes, pairs):
     return {n: find(n) for n in nodes if n is not None}
 
 
-def check(table, nodes, pairs, extra=False):
+def check(table, nodes, pairs, extra=False, **kw):
     n = table([(i,) for i in nodes], "id bigint")
     p = table(pairs, "src bigint, dst bigint")
     if extra:  # columns with the names that are used inside
         for c in ("v", "parent", "a", "b", "group_id", "deg"):
             n, p = n.selectExpr("*", f"1 as {c}"), p.selectExpr("*", f"'x' as {c}")
-    got = group_matches(n, p).collect()
+    got = group_matches(n, p, **kw).collect()
     assert len(got) == len(set(nodes) - {None})
     assert {r["id"]: r["group_id"] for r in got} == brute(nodes, pairs)
 
 
-def test_shapes(table):
+@pytest.mark.parametrize("core", [0, 20, 20_000])
+def test_shapes(table, core):
     path = [(i, i + 1) for i in range(60)]
     cycle = [(100 + i, 100 + (i + 1) % 17) for i in range(17)]
     star = [(200, 200 + i) for i in range(1, 40)]
     clique = [(300 + a, 300 + b) for a in range(7) for b in range(a)]
     caterpillar = [(400 + i, 401 + i) for i in range(10)] + [(400 + i, 450 + i) for i in range(10)]
     pairs = path + cycle + star + clique + caterpillar + [(205, 303), (None, 5), (7, None), (8, 8), (3, 2), (3, 2), (500, 501)]
-    check(table, [*range(0, 520), 5, None], pairs, extra=True)
+    check(table, [*range(0, 520), 5, None], pairs, extra=True, core_edges=core)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random(table, seed):
     r = random.Random(seed)
     n = 150
-    check(table, list(range(n)), [(r.randrange(n), r.randrange(n)) for _ in range(110 * seed)])
+    check(table, list(range(n)), [(r.randrange(n), r.randrange(n)) for _ in range(110 * seed)], core_edges=0)
 
 
 def test_core_is_contracted(table):
     """A dense graph that raking never touches."""
     r = random.Random(3)
-    check(table, list(range(80)), [(r.randrange(40) + 40 * (i % 2), r.randrange(40) + 40 * (i % 2)) for i in range(700)])
+    check(table, list(range(80)), [(r.randrange(40) + 40 * (i % 2), r.randrange(40) + 40 * (i % 2)) for i in range(700)], core_edges=0)
 
 
 def test_end_outside_nodes_links_and_counts(table):
