@@ -18,11 +18,11 @@ from weftgraph.operators.segment import with_dense_ids
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value), line_no 0-based over a file (or its parts in name order).
 
-    The position inside a file comes from the file reader's block offsets, so lines are read in
-    parallel and numbered without a single task.
+    Lines are read in parallel and ordered by file, start of the block they were read in, and
+    place in it; no task numbers more than its partition.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"), "value")
-    return with_dense_ids(lines.withColumn("k", F.struct("f", "i")), "k", "line_no").select("line_no", "value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
+    return with_dense_ids(lines.withColumn("k", F.struct("f", "b", "i")), "k", "line_no").select("line_no", "value")
 
 
 def text_array(spark: SparkSession, path: str, sep: str = r"[,\s]+", kind: str = "double") -> DataFrame:
