@@ -20,6 +20,7 @@ def sentence(r, subject, limit=6):
 def test_prose_leaves_out_what_is_none():
     text = 'Hi all,\n\n### Bug\n1. First point here. Second one there!\n```python\nx = load(n=3)\nThis is code.\n```\n[10:00:01] epoch 1  loss=0.5\n# A comment line is prose.\nbob: We said so again.\nThanks in advance for any hint!\nTraceback (most recent call last):\n  File "a.py", line 3\nValueError: expected 3 dims.\n\n> Quoted words count too.\n--\nbob'
     assert S.prose(text) == ["First point here.", "Second one there!", "A comment line is prose.", "We said so again.", "Quoted words count too."]
+    assert S.prose("The seed is 9; results shouldn&#39;t depend on it. return x;") == ["The seed is 9; results shouldn't depend on it."]
     assert S.prose(None) == S.prose("") == S.prose(" \n\t") == S.prose("+1") == S.prose("_" * 5000) == []
     assert S.prose("为什么会这样？一旦出现，就应该停止。") == ["为什么会这样?", "一旦出现,就应该停止。"]
 

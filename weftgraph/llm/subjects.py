@@ -22,6 +22,7 @@ Everything covers all documents: term counts, the fit, and the assignment.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -37,13 +38,13 @@ from weftgraph.core.session import collect_bounded, cut
 
 _END = re.compile(r"(?<=[.?!])[\"')\]]*(?:\s+|$)|(?<=[。？！])|(?<=[?!])(?=[぀-ヿ㐀-鿿豈-﫿])")
 _ENDED = re.compile(r"[.?!。？！][\"')\]]*$")
-_CODE = re.compile(r"[=_{}\[\]<>|\;]|\w\(|^\s*(?:def|class|import|from|return|pip)\s", re.I)
+_CODE = re.compile(r"[=_{}\[\]<>|]|;\s*$|\w\(|^\s*(?:def|class|import|from|return|pip)\s", re.I)
 _LOG = re.compile(r"^\W*\d{1,2}:\d\d(?::\d\d)?\b|\b\w+=[-+.\d]+", re.I)
 _TRACE = re.compile(r"^\s*traceback\b|^\s*file \"|^\s*\w*(?:error|exception)\s*:", re.I)
 _LEAD = re.compile(r"^(?:[\s>#*+\-•]+|\d+[.)]\s+|r?\"{3}|r?'{3}|@\w+[\s:>]*)+")
 _SPEAKER = re.compile(r"^[^\W\d]{2,20}\s?[:：]\s*")
 _GREETING = re.compile(r"\bthanks\b|\bthank you\b|^(?:hi|hello|hey|dear|hallo|danke|hola|gracias|vielen dank|saludos|regards|cheers)\b|谢谢|你好|大家好", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>|&[a-z]{2,8};")
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]+")
 
@@ -53,7 +54,7 @@ def prose(text: str | None) -> list[str]:
     if not text:
         return []
     text = unicodedata.normalize("NFKC", text.replace("\r\n", "\n").replace("\r", "\n")).replace("​", "").replace("﻿", "")
-    text = _TAG.sub(" ", text)
+    text = _TAG.sub(" ", html.unescape(text))
     out, fenced, trace = [], False, False
     for line in text.split("\n"):
         bare = line.strip()
