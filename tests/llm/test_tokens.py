@@ -29,7 +29,7 @@ def encoder(ranks, tmp_path_factory):
     return K.Encoder(str(path))
 
 
-TEXTS = ["The graph's edges, and graphs of graphs.", "<|endoftext|> is text", "   ", " \n\n x", "学习率在54轮之后减半。", "naïve Übergänge ¿qué?", "a" * 5000, "_" * 9001, "é" * 700, "👩‍🔬 🙂", "don't I'LL they've", "\t 　x"]
+TEXTS = ["The graph's edges, and graphs of graphs.", "<|endoftext|> is text", "   ", " \n\n x", "学习率在54轮之后减半。", "naïve Übergänge ¿qué?", "a" * 5000, "_" * 9001, "é" * 700, "👩‍🔬 🙂", "don't I'LL they've", "\t 　x", "a\x001\x00\x00 \x00!\x00"]
 
 
 def split(ids, sizes):

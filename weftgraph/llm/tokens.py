@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -231,10 +230,11 @@ class Encoder:
         """(all ids in order, ids of each text); null and empty texts have none."""
         split = [self.words.findall(t) if t else [] for t in texts]
         n_words = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.empty(int(n_words.sum()), dtype=object)
-        flat[:] = list(chain.from_iterable(split))
-        codes, different = pd.factorize(flat)
+        flat = list(chain.from_iterable(split))
+        different = dict.fromkeys(flat)
         raw = [w.encode() for w in different]
+        place = dict(zip(different, range(len(different))))
+        codes = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
         number = self.numbers(raw)
         start, size = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
         known = number >= 0
