@@ -78,3 +78,20 @@ def test_codes_reconstruct():
         assert codes.shape == (500, 3)
         err = ((x[:500] - back) ** 2).sum(1).mean()
         assert err < 0.12
+
+
+@pytest.mark.parametrize("share, chunk", [(3, 8192), (3, 500), (1, 8192)])
+def test_dense_group_of_different_near_copies(table, share, chunk):
+    """A 1/share of all rows are near copies of one vector, in far more cells than are probed."""
+    r = np.random.default_rng(5)
+    n, dims = 3000, 64
+    x = r.normal(0, 1, (n, dims))
+    x[: n // share] = x[0] + r.normal(0, 0.27, (n // share, dims))
+    df = table([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")
+    got = {(p["id"], p["other"]) for p in B.nearest(df, "id", "x", k=3, min_cos=0.9, probes=4, chunk=chunk).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = u @ u.T
+    np.fill_diagonal(cos, -2)
+    top = np.argsort(-cos, axis=1)[:, :3]
+    want = {(i, int(j)) for i in range(n) for j in top[i] if cos[i, j] >= 0.9}
+    assert len(want) > 2 * (n // share) and got == want

@@ -6,13 +6,17 @@ fitted on a bounded sample (k-means on residuals, beam-search encoding, one leas
 update of all codewords together); *every* vector is encoded by beam search and stored
 with the norm of its reconstruction.
 
-Search.  A query's products with all codewords make a look-up table; a stored vector's
-score is the sum of its codewords' entries over its norm.  The best of a block are reranked
-by their vectors in the same task, the best of all blocks by the exact double cosine.
+Search, in both cases with the best of all blocks reranked by the exact double cosine:
 
 * `probes` cells (default): each query visits the cells of its nearest coarse codewords -
-  for close neighbours, with work growing as n^1.5.
-* scan: a stated query set against all codes, block by block - for any neighbours.
+  for close neighbours, with work growing as n^1.5.  All vectors of a visited cell are scored
+  themselves, as codes do not rank different near copies.  An item within `reach` of its
+  codeword is in its cell's core; a query also visits every cell whose core can hold
+  a neighbour within `reach` (triangle inequality), so that inside a dense group none is
+  missed: there the work is quadratic.  Cells of one dense group are merged up to a chunk.
+* scan: a stated query set against all codes, block by block - for any neighbours.  A query's
+  products with all codewords make a look-up table; a stored vector's score is the sum of its
+  codewords' entries over its norm; the best of a block are reranked by their vectors.
 
 Equal vectors are one class with its smallest ids, so a vector that a third of all rows
 share is searched once.  Large cells are cut into chunks of items and of queries: every
@@ -86,6 +90,8 @@ def fit_codebooks(sample: np.ndarray, cells: int, levels: int, beam: int, rounds
     rng = np.random.default_rng(seed)
     coarse = _kmeans(sample, cells, rounds, rng)
     books = Codebooks(coarse, np.zeros((0, CODE, sample.shape[1]), np.float32))
+    if not levels:
+        return books
     cell = books.near_cells(sample, 1)[:, 0]
     rest = sample - coarse[cell]
     fine = []
@@ -115,7 +121,7 @@ def usable(vec: Column, n_dims: int) -> Column:
     return F.coalesce((F.size(vec) == n_dims) & good & F.exists(vec, lambda v: v != 0), F.lit(False))
 
 
-def _pack(books: Codebooks, beam: int, probes: int, encode: bool):
+def _pack(books: Codebooks, beam: int, encode: bool):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if not len(pdf):
@@ -124,20 +130,84 @@ def _pack(books: Codebooks, beam: int, probes: int, encode: bool):
             # Scaled first, so that very large components do not overflow their squares.
             x = x / np.abs(x).max(1, keepdims=True)
             u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            cells = books.near_cells(u, probes)
-            out = pd.DataFrame({"rep": pdf["rep"], "u": [r.tobytes() for r in u], "cell": cells[:, 0].astype(np.int32), "probes": list(cells.astype(np.int32))})
+            cell = books.near_cells(u, 1)[:, 0]
+            out = pd.DataFrame({"rep": pdf["rep"], "u": [r.tobytes() for r in u], "cell": cell.astype(np.int32)})
             codes, norm = np.zeros((len(u), len(books.fine)), np.uint8), np.zeros(len(u), np.float32)
             if encode:
                 for a in range(0, len(u), 1024):
                     part = slice(a, a + 1024)
-                    _, codes[part], r = books.encode(u[part], beam, cells[part, 0])
+                    _, codes[part], r = books.encode(u[part], beam, cell[part])
                     norm[part] = np.linalg.norm(r, axis=1)
             out["codes"], out["norm"] = [r.tobytes() for r in codes], norm
+            out["off"] = np.linalg.norm(u - books.coarse[cell], axis=1)
             yield out
 
     return run
 
 
+def _merge(coarse: np.ndarray, items: np.ndarray, dense: np.ndarray, reach: float, chunk: int) -> np.ndarray:
+    """The block of each cell: dense cells within `reach` of one another share one, up to `chunk` items."""
+    block = np.arange(len(coarse))
+    free = dense.copy()
+    for seed in np.argsort(-items, kind="stable"):
+        if not free[seed]:
+            continue
+        far = np.linalg.norm(coarse - coarse[seed], axis=1)
+        near = np.flatnonzero(free & (far <= reach))
+        near = near[np.argsort(far[near], kind="stable")]
+        taken = near[np.cumsum(items[near]) <= max(chunk, items[seed])]
+        free[seed] = free[taken] = False
+        block[taken] = seed
+    return block
+
+
+def _visits(books: Codebooks, probes: int, block: np.ndarray, core: np.ndarray, reach: float):
+    """The blocks of each query.  core: a cell's largest distance of a core item, negative without any."""
+    cored = np.flatnonzero(core >= 0)
+    square = (books.coarse[cored] ** 2).sum(1)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for a in range(0, len(pdf), 4096):
+                own = pdf.iloc[a : a + 4096]
+                u = np.frombuffer(b"".join(own["u"]), np.float32).reshape(len(own), -1)
+                cells = books.near_cells(u, probes)
+                row, col = np.nonzero(1 + square - 2 * (u @ books.coarse[cored].T) <= (core[cored] + reach + 1e-3) ** 2)
+                more = np.split(cored[col], np.searchsorted(row, np.arange(1, len(own))))
+                yield pd.DataFrame({"rep": own["rep"], "u": own["u"], "blks": [np.unique(block[np.concatenate(c)]).astype(np.int32) for c in zip(cells, more)]})
+
+    return run
+
+
+def _exact(dims: int, k: int, min_cos: float):
+    """One block: items and queries -> the k best items of each query, all items scored by their vectors."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_q = pdf["is_q"].to_numpy()
+        items, qs = pdf[~is_q], pdf[is_q]
+        none = pd.DataFrame({"q": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "cos": np.zeros(0, np.float32)})
+        if not len(items) or not len(qs):
+            return none
+        x, q = (np.frombuffer(b"".join(f["u"]), np.float32).reshape(len(f), dims) for f in (items, qs))
+        own, ids = items["rep"].to_numpy(), qs["rep"].to_numpy()
+        itself = pd.Index(own).get_indexer(ids)
+        best = min(k, len(items))
+        out, step = [], max(1, 4_000_000 // len(items))
+        for a in range(0, len(q), step):
+            score = q[a : a + step] @ x.T
+            at = itself[a : a + step]
+            score[np.flatnonzero(at >= 0), at[at >= 0]] = -2
+            hit = np.flatnonzero(score.max(1) >= min_cos - 1e-4)
+            score = score[hit]
+            pos = np.argpartition(-score, best - 1, axis=1)[:, :best]
+            cos = np.take_along_axis(score, pos, 1)
+            row, col = np.nonzero((cos > -2) & (cos >= min_cos - 1e-4))
+            out.append(pd.DataFrame({"q": ids[a + hit[row]], "item": own[pos[row, col]], "cos": cos[row, col]}))
+        return pd.concat(out) if out else none
+
+    return run
+
+
 def _score(books: Codebooks, k: int, shortlist: int, min_cos: float):
     """One block: items and queries -> the k best items of each query in the block."""
     dims, levels = books.coarse.shape[1], len(books.fine)
@@ -205,14 +275,14 @@ def nearest(
     stands for it.  Null ids are left out.  `queries`: a condition on column `id`; the result has
     rows for those ids only, always against all vectors.  Empty input gives no rows.
 
-    `levels`: fine codebooks; 4 by default, which tells close neighbours from others, and 12 with
-    `scan`, where the k best may be far (of 96,000 vectors' true 10 nearest the best 600 scores
-    hold 0.99; 4 levels: 0.70).
+    `levels`: fine codebooks of a scan, 12 by default, as the k best may be far (of 96,000
+    vectors' true 10 nearest the best 600 scores hold 0.99; 4 levels: 0.70).
     `sample_rows` bounds the vectors that codebooks are fitted on (those of the smallest id
     hashes); the number of cells is sqrt(n) up to `max_cells`.
     """
     spark = df.sparkSession
-    levels = levels or (12 if scan else 4)
+    # Distance of unit vectors within which a dense group's neighbours are complete.
+    reach = math.sqrt(2 - 2 * min(1.0, max(min_cos, 0.9)))
     vec = F.col(vec_col).cast("array<double>")
     rows = (
         df.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec")).filter(F.col("id").isNotNull() & usable(F.col("vec"), n_dims))
@@ -240,8 +310,8 @@ def nearest(
         picked = reps.select("vec").orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(sample_rows)
         x = np.array([r[0] for r in collect_bounded(picked, sample_rows, "sample")])
         x = x / np.abs(x).max(1, keepdims=True)
-        books = fit_codebooks((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), cells, levels, beam)
-        packed = cut(reps.mapInPandas(_pack(books, beam, 1 if scan else probes, True), "rep bigint, u binary, cell int, probes array<int>, codes binary, norm float"))
+        books = fit_codebooks((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), cells, (levels or 12) if scan else 0, beam)
+        packed = cut(reps.mapInPandas(_pack(books, beam, scan), "rep bigint, u binary, cell int, codes binary, norm float, off float"))
         asked = packed
         if queries is not None:
             wanted = rows.select("id", "key").filter(queries).select("key").distinct().join(classes.select("key", "rep"), "key").select("rep")
@@ -257,16 +327,25 @@ def nearest(
             keys = ["blk", "part"]
             item_rows, query_rows = item_rows.withColumn("ic", F.lit(0)), query_rows.withColumn("ic", F.lit(0))
         else:
-            visits = asked.withColumn("blk", F.explode("probes"))
-            size = packed.groupBy(F.col("cell").alias("blk")).agg(F.count(F.lit(1)).alias("n_i"))
-            load = visits.groupBy("blk").agg(F.count(F.lit(1)).alias("n_q"))
+            core = F.when(F.col("off") <= reach, F.col("off"))
+            held = packed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count(core).alias("n_core"), F.max(core).alias("far"))
             # One row a cell, at most max_cells.
+            count, n_core, far = np.zeros(cells), np.zeros(cells), np.full(cells, -1.0)
+            for r in collect_bounded(held, max_cells, "cells"):
+                count[r["cell"]], n_core[r["cell"]], far[r["cell"]] = r["n"], r["n_core"], -1.0 if r["far"] is None else r["far"]
+            block = _merge(books.coarse, count, 2 * n_core > count, reach, chunk)
+            visits = cut(asked.select("rep", "u").mapInPandas(_visits(books, probes, block, far, reach), "rep bigint, u binary, blks array<int>"))
+            visits = visits.select("rep", "u", F.explode("blks").alias("blk"))
+            of_cell = F.element_at(F.lit(block.tolist()), F.col("cell") + 1).cast("int")
+            stored = packed.withColumn("blk", of_cell)
+            size = stored.groupBy("blk").agg(F.count(F.lit(1)).alias("n_i"))
+            load = visits.groupBy("blk").agg(F.count(F.lit(1)).alias("n_q"))
             plan = size.join(load, "blk").select(
                 "blk", F.ceil(F.col("n_i") / chunk).cast("int").alias("ics"), F.ceil(F.col("n_q") / (4 * chunk)).cast("int").alias("parts")
             )
             plan = spark.createDataFrame(collect_bounded(plan, max_cells, "cells"), "blk int, ics int, parts int")
             to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-            item_rows = packed.withColumn("blk", F.col("cell")).join(F.broadcast(plan), "blk")
+            item_rows = stored.join(F.broadcast(plan), "blk")
             item_rows = item_rows.withColumn("ic", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("ics")).cast("int")).withColumn("part", F.explode(to("parts")))
             query_rows = visits.join(F.broadcast(plan), "blk")
             query_rows = query_rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(13)), F.col("parts")).cast("int")).withColumn("ic", F.explode(to("ics")))
@@ -277,7 +356,8 @@ def nearest(
                               F.lit(None).cast("float").alias("norm"), F.lit(True).alias("is_q"))
         )
         spare = k + 3  # single precision decides which are reranked
-        found = both.groupBy(*keys).applyInPandas(_score(books, spare, 8 * spare, min_cos), "q bigint, item bigint, cos float")
+        score = _score(books, spare, 8 * spare, min_cos) if scan else _exact(n_dims, spare, min_cos)
+        found = both.groupBy(*keys).applyInPandas(score, "q bigint, item bigint, cos float")
         best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "item"))
         found = found.withColumn("r", best).filter(F.col("r") <= spare).select("q", "item")
         vq, vi = reps.select(F.col("rep").alias("q"), F.col("vec").alias("vq")), reps.select(F.col("rep").alias("item"), F.col("vec").alias("vi"))
