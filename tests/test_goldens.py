@@ -278,3 +278,20 @@ def test_empty_tables(table):
     assert E.num_nodes(e).first()[0] == 0 and E.contains_self_loops(e).first()[0] is False and E.is_coalesced(e).first()[0]
     assert S.gspmm(e, n, 2).count() == 0 and N.laplacian(e, n.select("id"), "sym").count() == 0
     assert T.k_hop_nodes(e, n.select("id"), 2).count() == 0 and G.unique(table([], "value double"), "value").count() == 0
+
+
+def test_dense_batch_keeps_every_node(table):
+    n = table([(i, 0 if i < 2 else 1, [i]) for i in range(7)], "id bigint, graph_id bigint, x array<double>")
+    for least, slots in ((1, 5), (3, 5), (6, 6)):
+        got = P.dense_batch(n, 1, least, fill=-1.0).collect()
+        assert len(got) == 2 * slots and sorted(r["x"][0] for r in got if r["mask"]) == [0, 1, 2, 3, 4, 5, 6]
+        assert all(r["x"] == [-1] for r in got if not r["mask"])
+
+
+def test_dense_batch_query_keeps_large_graphs(spark, tmp_path):
+    from weftgraph.plans.features import dense_batch
+
+    rows_ = [(i, 5 if i < 450 else 6, [float(i + 1)] * 64) for i in range(453)]
+    spark.createDataFrame(rows_, "id bigint, graph_id bigint, x array<double>").write.parquet(f"{tmp_path}/graph_nodes.parquet")
+    got = dense_batch(spark, str(tmp_path)).collect()
+    assert len(got) == 900 and sum(r["mask"] for r in got) == 453

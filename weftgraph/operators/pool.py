@@ -25,12 +25,15 @@ def sort_pool(nodes: DataFrame, width: int, k: int, batch: str = "graph_id") ->
     return rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), F.lit(k * width) - F.size("x"))))
 
 
-def dense_batch(nodes: DataFrame, width: int, most: int, batch: str = "graph_id", fill: float = 0.0) -> DataFrame:
-    """(batch, slot, x, mask): `most` slots a graph, filled by id, then padded with `fill`."""
-    own = nodes.filter(F.col(batch).isNotNull())
+def dense_batch(nodes: DataFrame, width: int, least: int = 1, batch: str = "graph_id", fill: float = 0.0) -> DataFrame:
+    """(batch, slot, x, mask): as many slots a graph as the largest has nodes, but at least `least`.
+
+    Slots are filled by id, then padded with `fill`; no node is left out.
+    """
     slot = F.row_number().over(Window.partitionBy(batch).orderBy("id")) - 1
-    own = own.withColumn("slot", slot).filter(F.col("slot") < most).select(batch, "slot", "x")
-    slots = own.select(batch).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    own = nodes.filter(F.col(batch).isNotNull()).withColumn("slot", slot).select(batch, "slot", "x")
+    last = own.agg(F.greatest(F.max("slot"), F.lit(least - 1)).alias("last"))  # one row
+    slots = own.select(batch).distinct().crossJoin(last).select(batch, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("slot"))
     j = slots.join(own, [batch, "slot"], "left")
     return j.select(batch, "slot", F.coalesce("x", F.array_repeat(F.lit(fill), F.lit(width))).alias("x"), F.col("x").isNotNull().alias("mask"))
 

@@ -238,6 +238,7 @@ def pool_sort(spark: Spark, d: str) -> DataFrame:
     + f"SELECT l.graph_id, l.slot, s.x IS NOT NULL AS mask, {V.r('coalesce(s.x[1], -1)')} AS first FROM l LEFT JOIN s ON s.graph_id = l.graph_id AND s.slot = l.slot",
 )
 def dense_batch(spark: Spark, d: str) -> DataFrame:
+    """At least the 300 slots of the SQL; where a graph has more nodes, where the SQL drops them, one for each."""
     b = P.dense_batch(pooled(spark, d), V.WIDTH, 300, fill=-1.0)
     return b.select("graph_id", F.col("slot").cast("bigint").alias("slot"), "mask", V.real(F.get("x", F.lit(0))).alias("first"))
 
