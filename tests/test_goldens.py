@@ -295,3 +295,37 @@ def test_dense_batch_query_keeps_large_graphs(spark, tmp_path):
     spark.createDataFrame(rows_, "id bigint, graph_id bigint, x array<double>").write.parquet(f"{tmp_path}/graph_nodes.parquet")
     got = dense_batch(spark, str(tmp_path)).collect()
     assert len(got) == 900 and sum(r["mask"] for r in got) == 453
+
+
+def test_cycles_by_brute_force(table):
+    """Against counts from powers of the adjacency matrix, with hubs, loops and repeated edges."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 40, (250, 2))] + [(0, i) for i in range(40)] + [(i, 1) for i in range(40)]
+    m = np.zeros((40, 40), int)
+    for a, b in pairs:
+        m[a, b] = m[b, a] = a != b
+    deg, m2 = m.sum(1), m @ m
+    c4 = (np.trace(m2 @ m2) - 2 * (deg**2).sum() + deg.sum()) // 8
+    assert tuple(T.cycle_counts(edge(table, *zip(*pairs))).first()) == (np.trace(m2 @ m) // 6, c4)
+
+
+def test_all_types_take_part(spark, tmp_path):
+    """A triangle and a square of mixed types (one of none) count in the queries over all edges."""
+    from weftgraph.plans.features import R as features
+    from weftgraph.plans.sampling import R as sampling
+
+    e = [(1, 2, "follows"), (2, 3, "similar"), (1, 3, "cites"), (3, 4, "links"), (4, 1, None)]
+    spark.createDataFrame([(a, b, 1.0, t) for a, b, t in e], "src bigint, dst bigint, w double, edge_type string").write.parquet(f"{tmp_path}/graph_edges.parquet")
+    spark.createDataFrame([("graph", 1)], "scope string, node_id bigint").write.parquet(f"{tmp_path}/anchor_nodes.parquet")
+    spark.createDataFrame([(1, 4, None)], "src bigint, dst bigint, matched boolean").write.parquet(f"{tmp_path}/graph_matches.parquet")
+    run = lambda name: rows((features if name.startswith("target") else sampling).queries[name](spark, str(tmp_path)))
+    assert run("cycle_counts_all") == [(2, 1)] and run("triangles_all") == [(1, 2, 3), (1, 3, 4)]
+    assert [r[0] for r in run("khop_nodes_all")] == [1, 3, 4] and [r[0] for r in run("khop_nodes_out_all")] == [1, 2, 3, 4]
+    assert len(run("khop_subgraph_all")) == 3 and sum(r[3] for r in run("khop_edge_mask_all")) == 3
+    assert sorted(r[2] for r in run("simple_paths_all")) == ["1,2,3,4", "1,3,4"]
+    assert {r[1]: r[2] for r in run("shortest_path_distance_all")} == {1: 0, 2: 1, 3: 1, 4: 2}
+    assert {r[1]: r[2] for r in run("shortest_path_nodes_all")}[4] == "1,3,4" and len(run("bfs_tree_order_all")) == 4
+    assert {r[1] for r in run("enclosing_subgraph_labels")} == {1, 2, 3, 4}
+    assert len(run("node2vec_probabilities_all")) == 6 and len(run("target_matrix_all")) == 10

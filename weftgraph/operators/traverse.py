@@ -148,16 +148,22 @@ def undirected_simple(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def _oriented(edges: DataFrame) -> DataFrame:
-    """Simple edges from the end of lower degree to that of higher (ids break ties).
-
-    A node has at most sqrt(2 m) out-edges then, so wedges stay within m^1.5 even at hubs.
-    """
+def _ranked(edges: DataFrame) -> DataFrame:
+    """Simple edges (u, v, du, dv) from the end of lower degree to that of higher (ids break ties)."""
     e = undirected_simple(edges)
     deg = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     e = e.join(deg.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
     up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    return e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"))
+    ends = ("a", "b"), ("b", "a"), ("da", "db"), ("db", "da")
+    return e.select(*[F.when(up, F.col(x)).otherwise(F.col(y)).alias(n) for n, (x, y) in zip(("u", "v", "du", "dv"), ends)])
+
+
+def _oriented(edges: DataFrame) -> DataFrame:
+    """The pairs (u, v) of `_ranked`.
+
+    A node has at most sqrt(2 m) out-edges then, so wedges stay within m^1.5 even at hubs.
+    """
+    return _ranked(edges).select("u", "v")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -173,15 +179,22 @@ def triangles(edges: DataFrame) -> DataFrame:
 def cycle_counts(edges: DataFrame) -> DataFrame:
     """One row (c3, c4): triangles and squares of the simple undirected graph.
 
-    Squares are pairs of wedges with the same ends, C(n, 2) over pairs, each square seen from
-    both diagonals.  Wedges are formed at the centre; pairs are pre-aggregated.
+    A square is counted once, from its node of highest degree (ids break ties): of the wedges
+    v - u - w with v above u and w, each pair with the same ends closes one.  An edge w - v
+    closes a triangle with each such u below w.  A wedge has an out-edge of `_oriented`, so
+    their number stays within m^1.5 even at hubs; both counts come from one aggregation.
     """
-    e = cut(undirected_simple(edges))
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    l, r = both.select(F.col("a").alias("m"), F.col("b").alias("x")), both.select(F.col("a").alias("m"), F.col("b").alias("y"))
-    paths = l.join(r, "m").filter("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    c4 = paths.agg((F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)) / 2).cast("bigint").alias("c4"))
-    return triangles(edges).agg(F.count(F.lit(1)).alias("c3")).crossJoin(c4)  # one row each
+    e = cut(_ranked(edges))
+    to = e.select("u", "v", "dv")
+    of = e.select("u", F.col("v").alias("w"), F.col("dv").alias("dw"), F.lit(1).alias("up")).unionByName(
+        e.select(F.col("v").alias("u"), F.col("u").alias("w"), F.col("du").alias("dw"), F.lit(0).alias("up"))
+    )
+    below = (F.col("dw") < F.col("dv")) | ((F.col("dw") == F.col("dv")) & (F.col("w") < F.col("v")))
+    wedges = to.join(of, "u").filter(below).select("v", "w", F.lit(1).alias("n"), "up", F.lit(0).alias("edge"))
+    closing = e.select("v", F.col("u").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("up"), F.lit(1).alias("edge"))
+    pairs = wedges.unionByName(closing).groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in ("n", "up", "edge")])
+    total = lambda c: F.coalesce(F.sum(F.expr(c)), F.lit(0)).cast("bigint")
+    return pairs.agg(total("up * edge").alias("c3"), total("n * (n - 1) div 2").alias("c4"))
 
 
 def bfs_order(tree: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from weftgraph.operators import hetero as H
 from weftgraph.operators import pool as P
 from weftgraph.plans import views as V
 from weftgraph.plans.registry import Registry
+from weftgraph.plans.sampling import Edges, follows, over_all
 from weftgraph.plans.structure import _chain
 
 R = Registry()
@@ -194,8 +195,11 @@ def tfidf(spark: Spark, d: str) -> DataFrame:
     V.ctes("t", more=("p AS (SELECT a.src, a.dst, sum(w / s) AS p FROM t a JOIN (SELECT src, sum(w) AS s FROM t WHERE edge_type = 'follows' GROUP BY src) q ON q.src = a.src WHERE edge_type = 'follows' GROUP BY ALL)",))
     + f"SELECT src, dst, {V.r('sum(p) / 2')} AS value FROM (SELECT * FROM p UNION ALL SELECT a.src, b.dst, sum(a.p * b.p) FROM p a JOIN p b ON b.src = a.dst GROUP BY ALL) GROUP BY ALL",
 )
-def target_matrix(spark: Spark, d: str) -> DataFrame:
-    return X.target_matrix(V.typed(spark, d).filter("edge_type = 'follows'")).withColumn("value", V.real("value"))
+def target_matrix(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
+    return X.target_matrix(edges(spark, d)).withColumn("value", V.real("value"))
+
+
+over_all(R, "target_matrix")
 
 
 @R.query("kmeans_codes")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from weftgraph.plans.registry import Registry
 
 R = Registry()
 Spark = SparkSession
+Edges = Callable[[SparkSession, str], DataFrame]
 
 
 def key(seed: int, *cols: str) -> str:
@@ -37,14 +41,35 @@ def of_type(spark: Spark, d: str, name: str) -> DataFrame:
     return V.typed(spark, d).filter(F.col("edge_type") == name).select("src", "dst", "w")
 
 
+def similar(spark: Spark, d: str) -> DataFrame:
+    return of_type(spark, d, "similar")
+
+
+def follows(spark: Spark, d: str) -> DataFrame:
+    return of_type(spark, d, "follows")
+
+
+def every(spark: Spark, d: str) -> DataFrame:
+    return V.edges(spark, d).select("src", "dst", "w")
+
+
+def over_all(reg: Registry, *names: str) -> None:
+    """Registers NAME_all for each query with an argument `edges`: the same over the edges of all types."""
+    for name in names:
+        sql = reg.sql[name].replace(V.CTE["t"], V.CTE["e"].replace("e AS", "t AS", 1))
+        for kind in ("similar", "follows"):
+            sql = sql.replace(f" WHERE edge_type = '{kind}' AND ", " WHERE ").replace(f" WHERE edge_type = '{kind}'", "")
+        reg.query(f"{name}_all", sql)(partial(reg.queries[name], edges=every))
+
+
 _SIM = "m AS (SELECT DISTINCT src, dst FROM t WHERE edge_type = 'similar')"
 
 
 for _rev in (False, True):
     _h, _t = ("src", "dst") if _rev else ("dst", "src")
 
-    def _khop(spark: Spark, d: str, rev: bool = _rev) -> DataFrame:
-        return T.k_hop_nodes(of_type(spark, d, "similar"), anchors(spark, d), 2, rev)
+    def _khop(spark: Spark, d: str, rev: bool = _rev, edges: Edges = similar) -> DataFrame:
+        return T.k_hop_nodes(edges(spark, d), anchors(spark, d), 2, rev)
 
     R.query(
         "khop_nodes_out" if _rev else "khop_nodes",
@@ -58,13 +83,13 @@ _KHOP = (_SIM, _S, "h AS (SELECT id, 0 AS hop FROM s UNION SELECT m.src, h.hop +
 
 
 @R.query("khop_subgraph", V.ctes("t", more=_KHOP) + "SELECT a.n AS src, b.n AS dst, w FROM t JOIN k a ON a.id = t.src JOIN k b ON b.id = t.dst WHERE edge_type = 'similar'")
-def khop_subgraph(spark: Spark, d: str) -> DataFrame:
-    return T.k_hop_subgraph(of_type(spark, d, "similar"), anchors(spark, d), 2)[1].select("src", "dst", "w")
+def khop_subgraph(spark: Spark, d: str, edges: Edges = similar) -> DataFrame:
+    return T.k_hop_subgraph(edges(spark, d), anchors(spark, d), 2)[1].select("src", "dst", "w")
 
 
 @R.query("khop_edge_mask", V.ctes("t", more=_KHOP) + "SELECT src, dst, w, src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k) AS mask FROM t WHERE edge_type = 'similar'")
-def khop_edge_mask(spark: Spark, d: str) -> DataFrame:
-    return T.k_hop_subgraph(of_type(spark, d, "similar"), anchors(spark, d), 2)[2].select("src", "dst", "w", "mask")
+def khop_edge_mask(spark: Spark, d: str, edges: Edges = similar) -> DataFrame:
+    return T.k_hop_subgraph(edges(spark, d), anchors(spark, d), 2)[2].select("src", "dst", "w", "mask")
 
 
 _BFS = (
@@ -76,13 +101,13 @@ _BFS = (
 )
 
 
-def _tree(spark: Spark, d: str) -> DataFrame:
-    return T.shortest_paths(of_type(spark, d, "follows"), anchors(spark, d).withColumnRenamed("id", "source"), 3)
+def _tree(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
+    return T.shortest_paths(edges(spark, d), anchors(spark, d).withColumnRenamed("id", "source"), 3)
 
 
 @R.query("shortest_path_distance", V.ctes("t", more=_BFS) + "SELECT source, id, dist, parent FROM p")
-def shortest_path_distance(spark: Spark, d: str) -> DataFrame:
-    return _tree(spark, d)
+def shortest_path_distance(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
+    return _tree(spark, d, edges)
 
 
 @R.query(
@@ -90,13 +115,13 @@ def shortest_path_distance(spark: Spark, d: str) -> DataFrame:
     V.ctes("t", more=(*_BFS, "q AS (SELECT source, id, dist, CAST(id AS VARCHAR) AS path FROM p WHERE dist = 0 UNION ALL SELECT p.source, p.id, p.dist, q.path || ',' || p.id FROM q JOIN p ON p.source = q.source AND p.parent = q.id AND p.dist = q.dist + 1)"))
     + "SELECT source, id, path FROM q",
 )
-def shortest_path_nodes(spark: Spark, d: str) -> DataFrame:
-    return T.with_paths(_tree(spark, d), 3).select("source", "id", F.array_join("path", ",").alias("path"))
+def shortest_path_nodes(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
+    return T.with_paths(_tree(spark, d, edges), 3).select("source", "id", F.array_join("path", ",").alias("path"))
 
 
 @R.query("bfs_tree_order", V.ctes("t", more=_BFS) + "SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY dist, id) - 1 AS pos FROM b")
-def bfs_tree_order(spark: Spark, d: str) -> DataFrame:
-    return T.bfs_order(_tree(spark, d)).select("source", "id", F.col("pos").cast("bigint").alias("pos"))
+def bfs_tree_order(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
+    return T.bfs_order(_tree(spark, d, edges)).select("source", "id", F.col("pos").cast("bigint").alias("pos"))
 
 
 @R.query(
@@ -126,22 +151,22 @@ def pairs(spark: Spark, d: str) -> DataFrame:
     V.ctes("t", more=(_SIM.replace('similar', 'follows'), _PAIRS, "w AS (SELECT src, dst, src AS here, [src] AS path FROM pr UNION ALL SELECT w.src, w.dst, m.dst, list_append(w.path, m.dst) FROM w JOIN m ON m.src = w.here WHERE w.here <> w.dst AND len(w.path) < 4 AND NOT list_contains(w.path, m.dst))"))
     + "SELECT src, dst, array_to_string(path, ',') AS path FROM w WHERE here = dst",
 )
-def simple_paths(spark: Spark, d: str) -> DataFrame:
-    return T.simple_paths(of_type(spark, d, "follows"), pairs(spark, d), 4).select("src", "dst", F.array_join("path", ",").alias("path"))
+def simple_paths(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
+    return T.simple_paths(edges(spark, d), pairs(spark, d), 4).select("src", "dst", F.array_join("path", ",").alias("path"))
 
 
 @R.query("enclosing_subgraph_labels")
 def enclosing_subgraph_labels(spark: Spark, d: str) -> DataFrame:
     p = pairs(spark, d).filter("src <> dst").select(F.concat_ws("-", "src", "dst").alias("pair_id"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    return T.enclosing_subgraphs(of_type(spark, d, "similar"), p, 1)[0]
+    return T.enclosing_subgraphs(every(spark, d), p, 1)[0]
 
 
 _UND = "u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM t WHERE edge_type = 'follows' AND src <> dst)"
 
 
 @R.query("triangles", V.ctes("t", more=(_UND,)) + "SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b")
-def triangles(spark: Spark, d: str) -> DataFrame:
-    return T.triangles(of_type(spark, d, "follows"))
+def triangles(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
+    return T.triangles(edges(spark, d))
 
 
 @R.query(
@@ -150,8 +175,11 @@ def triangles(spark: Spark, d: str) -> DataFrame:
     + "SELECT (SELECT count(*) FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b) AS c3, "
     "(SELECT CAST(coalesce(sum(n * (n - 1) / 2), 0) / 2 AS BIGINT) FROM (SELECT x.b AS p, y.b AS q, count(*) AS n FROM d x JOIN d y ON y.a = x.a AND x.b < y.b GROUP BY ALL)) AS c4",
 )
-def cycle_counts(spark: Spark, d: str) -> DataFrame:
-    return T.cycle_counts(of_type(spark, d, "similar"))
+def cycle_counts(spark: Spark, d: str, edges: Edges = similar) -> DataFrame:
+    return T.cycle_counts(edges(spark, d))
+
+
+over_all(R, "khop_nodes", "khop_nodes_out", "khop_subgraph", "khop_edge_mask", "shortest_path_distance", "shortest_path_nodes", "bfs_tree_order", "simple_paths", "triangles", "cycle_counts")
 
 
 @R.query("induced_subgraph", V.ctes("e", "y") + "SELECT * FROM e WHERE src IN (SELECT id FROM y) AND dst IN (SELECT id FROM y)")
@@ -297,13 +325,16 @@ _N2V = (
 
 
 @R.query("node2vec_probabilities", V.ctes("t", more=_N2V) + f"SELECT prev, cur, nxt, {V.r('m / sum(m) OVER (PARTITION BY prev, cur)')} AS prob FROM tr")
-def node2vec_probabilities(spark: Spark, d: str) -> DataFrame:
-    return P.node2vec_probabilities(of_type(spark, d, "follows"), 0.5, 4.0).withColumn("prob", V.real("prob"))
+def node2vec_probabilities(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
+    return P.node2vec_probabilities(edges(spark, d), 0.5, 4.0).withColumn("prob", V.real("prob"))
+
+
+over_all(R, "node2vec_probabilities")
 
 
 @R.query("node2vec_walks")
 def node2vec_walks(spark: Spark, d: str) -> DataFrame:
-    return P.node2vec_walks(of_type(spark, d, "follows"), _starts(spark, d), 4, 0.5, 4.0, 31)
+    return P.node2vec_walks(every(spark, d), _starts(spark, d), 4, 0.5, 4.0, 31)
 
 
 _MP = (
