@@ -329,3 +329,11 @@ def test_all_types_take_part(spark, tmp_path):
     assert {r[1]: r[2] for r in run("shortest_path_nodes_all")}[4] == "1,3,4" and len(run("bfs_tree_order_all")) == 4
     assert {r[1] for r in run("enclosing_subgraph_labels")} == {1, 2, 3, 4}
     assert len(run("node2vec_probabilities_all")) == 6 and len(run("target_matrix_all")) == 10
+
+
+def test_attributes_of_all_nodes(spark, tmp_path):
+    from weftgraph.plans.features import gather_attributes_all
+
+    spark.createDataFrame([(i, i + 10) for i in range(7)], "id bigint, y bigint").write.parquet(f"{tmp_path}/graph_nodes.parquet")
+    spark.createDataFrame([("graph", 1)], "scope string, node_id bigint").write.parquet(f"{tmp_path}/anchor_nodes.parquet")
+    assert rows(gather_attributes_all(spark, str(tmp_path))) == [(i, i + 10) for i in range(7)]

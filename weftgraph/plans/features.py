@@ -389,3 +389,9 @@ def batch_separate(spark: Spark, d: str) -> DataFrame:
 @R.query("gather_attributes", V.ctes("y", "n") + "SELECT id, y FROM y WHERE id IN (SELECT id FROM n WHERE id % 3 = 0)")
 def gather_attributes(spark: Spark, d: str) -> DataFrame:
     return H.gather(V.labels(spark, d), V.nodes(spark, d).filter("id % 3 = 0"))
+
+
+@R.query("gather_attributes_all", V.ctes("y", "n") + "SELECT id, y FROM y WHERE id IN (SELECT id FROM n)")
+def gather_attributes_all(spark: Spark, d: str) -> DataFrame:
+    """Of all nodes; the SQL of `gather_attributes` states every third."""
+    return H.gather(V.labels(spark, d), V.nodes(spark, d))
