@@ -54,3 +54,15 @@ def test_thresholds(table):
 def test_empty_and_lonely(table):
     assert run(table, []) == {}
     assert run(table, [(1, 1), (2, 1), (3, 1)], min_count=1, min_lift=0.0) == {}
+
+
+def test_product_at_the_bound_of_the_lift():
+    """n_ab * n equals 3 * n_a * n_b above 2^24, where single precision would round it down."""
+    import pandas as pd
+
+    from weftgraph.llm.cooccur import _products
+
+    sides = [(b, i, side, n_item) for b in range(6) for i, side, n_item in ((1, 0, 5_592_407), (2, 1, 6))]
+    pdf = pd.DataFrame(sides, columns=["basket", "item", "side", "n_item"]).assign(n=16_777_221, ci=0, cj=1)
+    assert 6 * 16_777_221 == 3 * 5_592_407 * 6
+    assert _products(5, 3.0)(pdf).to_numpy().tolist() == [[1, 2, 6]]

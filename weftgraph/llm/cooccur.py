@@ -55,7 +55,7 @@ def _products(min_count: int, min_lift: float):
         for at in range(0, len(ia), step):
             part = slice(at, at + step)
             shared = ma[part] @ mb.T
-            hit = (shared >= min_count) & (shared * n >= min_lift * na[part, None] * nb[None, :])
+            hit = (shared >= min_count) & (shared.astype(np.float64) * n >= min_lift * na[part, None] * nb[None, :])
             x, y = np.nonzero(hit)
             a, c, k = ia[part][x], ib[y], shared[x, y]
             keep = a < c if same else a != c
