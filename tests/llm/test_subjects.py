@@ -25,6 +25,13 @@ def test_prose_leaves_out_what_is_none():
     assert S.prose("为什么会这样？一旦出现，就应该停止。") == ["为什么会这样?", "一旦出现,就应该停止。"]
 
 
+def test_inline_value_loses_its_sentence_only():
+    text = "Court rulings were compared to statutes. We set k=5 and lr=0.01 for all runs. Bail hearings carry no label."
+    assert S.prose(text) == ["Court rulings were compared to statutes.", "Bail hearings carry no label."]
+    assert S.prose("step=3 loss=0.5. All workers are running again.") == S.prose("[12:01] epoch 2. All workers are running again.") == []
+    assert S.prose("After epoch 3 the loss=0.5 and it goes down") == []
+
+
 @pytest.fixture(scope="module")
 def corpus():
     r = random.Random(1)

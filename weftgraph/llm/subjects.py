@@ -39,7 +39,7 @@ from weftgraph.core.session import collect_bounded, cut
 _END = re.compile(r"(?<=[.?!])[\"')\]]*(?:\s+|$)|(?<=[。？！])|(?<=[?!])(?=[぀-ヿ㐀-鿿豈-﫿])")
 _ENDED = re.compile(r"[.?!。？！][\"')\]]*$")
 _CODE = re.compile(r"[=_{}\[\]<>|]|;\s*$|\w\(|^\s*(?:def|class|import|from|return|pip)\s", re.I)
-_LOG = re.compile(r"^\W*\d{1,2}:\d\d(?::\d\d)?\b|\b\w+=[-+.\d]+", re.I)
+_LOG = re.compile(r"^\W*(?:\d{1,2}:\d\d(?::\d\d)?\b|\w+=[-+.\d]+)")  # a value inside a line is _CODE of its sentence
 _TRACE = re.compile(r"^\s*traceback\b|^\s*file \"|^\s*\w*(?:error|exception)\s*:", re.I)
 _LEAD = re.compile(r"^(?:[\s>#*+\-•]+|\d+[.)]\s+|r?\"{3}|r?'{3}|@\w+[\s:>]*)+")
 _SPEAKER = re.compile(r"^[^\W\d]{2,20}\s?[:：]\s*")
