@@ -1,12 +1,13 @@
 """Session helpers: lineage cuts, table access and size checks.
 
 Nothing here assumes local mode.  The one place that invents a directory
-(`_checkpoint_dir`) refuses to do so on a cluster.
+(`checkpoint_dir`) refuses to do so on a cluster.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
+    """Write `df` as compressed Parquet to the shared folder; (the table, its path).
+
+    Smaller than a checkpoint, and a part of it can be read by `partition_by`.  The path is
+    for `discard`, once nothing reads the table any more.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of `store`."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, a scan, in at least as many partitions as there are cores.
+
+    A table of few files would keep its whole work in few tasks; a table of many is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
