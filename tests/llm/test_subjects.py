@@ -67,3 +67,26 @@ def test_nothing(table, corpus):
     assert S.subject_areas(none, table(corpus[2], seed), sub).count() == 0
     some = table([(i, t) for i, t, _ in corpus[0][:20]], "doc_id bigint, text string")
     assert S.subject_areas(some, table([], seed), sub).count() == 0
+
+
+def test_sentences_that_never_recur(table):
+    """Each sentence has a word of its own, so none is known from elsewhere as a whole."""
+    r = random.Random(5)
+    docs, truth = [], {}
+    for i in range(400):
+        own = r.choice([["law"], ["sport"], []])
+        text = [sentence(r, s) for s in own for _ in range(5)] + [r.choice(PLAIN) for _ in range(4)]
+        r.shuffle(text)
+        docs.append((i, " ".join(s[:-1] + f" of {''.join(r.choices('bcdfglmnprst', k=9))}." for s in text)))
+        truth[i] = set(own)
+    seeds = [(k, s, "en", " ".join(sentence(r, s, 4) for _ in range(4)) + " " + " ".join(r.sample(PLAIN, 2))) for k, s in enumerate(["law", "sport"] * 10)]
+    got = S.subject_areas(table(docs, "doc_id bigint, text string"), table(seeds, "seed_id bigint, subject string, lang string, text string"), table([("law",), ("sport",)], "subject string")).collect()
+    found = {i: set() for i in truth}
+    for row in got:
+        found[row["doc_id"]].add(row["subject"])
+    assert sum(found[i] == truth[i] for i in truth) >= 0.97 * len(truth)
+
+
+def test_codes_are_no_prose():
+    assert S.prose("9316cf38ff706691944bb863fef4cb29e10fa2e4") == []
+    assert S.prose("We saw 9316cf38ff706691944bb863fef4cb29e10fa2e4.") == ["We saw 9316cf38ff706691944bb863fef4cb29e10fa2e4."]

@@ -1,21 +1,21 @@
 """Subject area of each document (problem 10), by anchored non-negative factorisation.
 
 1. Texts become prose sentences (code, log lines, headings, greetings and signatures are
-   left out) and sentences become terms: words, pairs of neighbouring words (runs of
-   characters where a script has no spaces) and the sentence as a whole.
+   left out) and sentences become terms: words and pairs of neighbouring words (runs of
+   characters where a script has no spaces).
 2. The document-term matrix X is factored as X ~ W H under the Kullback-Leibler
    divergence by alternating multiplicative updates.  Each language (of the seeds) has a
    component for each subject and one for what all its documents share, and a document
    uses the components of the language that explains its terms best.  Terms that the seed
    texts give to one subject anchor its component: they start H, and go on weighing in
-   each update with a fixed share of the component's mass; a term that keeps their company
-   moves to their component.  The first updates are made on words, the last on all terms.
+   each update with a share of the component's mass; a term that keeps their company
+   moves to their component.  H is renewed after each batch of documents, from the latest
+   sums of all batches, so that three passes over all documents do the work of many more.
    W is solved inside the tasks; what leaves a task is its sums for H, at most one row a
    term and language.
-3. A sentence deals with a subject if the terms whose mass is mostly this subject's carry
-   it; a whole sentence that is a known term, clearly a subject's or clearly none's, speaks
-   for itself.  A document has the
-   subjects that reach `share` of its prose sentences.
+3. Then each sentence is a row: its W, solved with H fixed, is its mixture.  A sentence deals
+   with its main subject if that has at least `sure` of the mixture, and a document has the
+   subjects that reach `share` of its sentences.
 
 Everything covers all documents: term counts, the fit, and the assignment.
 """
@@ -23,18 +23,19 @@ Everything covers all documents: term counts, the fit, and the assignment.
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.core.session import collect_bounded, cut
+from weftgraph.core.session import collect_bounded, discard, spread, store
 
 _END = re.compile(r"(?<=[.?!])[\"')\]]*(?:\s+|$)|(?<=[。？！])|(?<=[?!])(?=[぀-ヿ㐀-鿿豈-﫿])")
 _ENDED = re.compile(r"[.?!。？！][\"')\]]*$")
@@ -73,14 +74,14 @@ def prose(text: str | None) -> list[str]:
             s = _SPEAKER.sub("", _LEAD.sub("", s.strip()))
             if not s or _GREETING.search(s) or _CODE.search(s):
                 continue
-            words = len(_WORD.findall(s))
+            words = min(len(_WORD.findall(s)), len(s.split()))  # letters within one long code are no words
             wide = sum(map(len, _CJK.findall(s)))
             if wide >= 4 or words >= (3 if _ENDED.search(s) else 6):
                 out.append(s)
     return out
 
 
-WORD, PAIR, WHOLE = 0, 1, 2  # kinds of terms, in the last two bits of their keys
+WORD, PAIR = 0, 1  # kinds of terms, in the last two bits of their keys
 
 
 def _key(term: str, kind: int) -> int:
@@ -88,45 +89,46 @@ def _key(term: str, kind: int) -> int:
 
 
 _DIGITS = re.compile(r"\d+")
-_TOKENS = re.compile(r"\w+")
-_known: dict[str, np.ndarray] = {}  # terms of recent sentences of this worker; many sentences recur
-KNOWN = 50_000
 
 
 def terms(sentence: str) -> np.ndarray:
-    """Keys of a sentence's terms, the whole sentence first.  Numbers are all alike."""
+    """Keys of a sentence's terms: words and pairs of neighbouring words."""
     flat = _DIGITS.sub("9", sentence.lower())
-    keys = _known.get(flat)
-    if keys is None:
-        if len(_known) >= KNOWN:
-            _known.clear()
-        keys = _known[flat] = np.array(_terms(flat), np.int64)
-    return keys
-
-
-def _terms(flat: str) -> list[int]:
     if not flat.isascii():
         flat = "".join(c for c in unicodedata.normalize("NFKD", flat) if not unicodedata.combining(c))
     words = _WORD.findall(_CJK.sub(" ", flat))
-    out = [_key(" ".join(_TOKENS.findall(flat)), WHOLE)]
-    out += [_key(w, WORD) for w in words if len(w) > 1]
+    out = [_key(w, WORD) for w in words if len(w) > 1]
     out += [_key(f"{a} {b}", PAIR) for a, b in zip(words, words[1:])]
     for run in _CJK.findall(flat):
         for n in (2, 3):
             out += [_key(run[i : i + n], WORD) for i in range(len(run) - n + 1)]
-    return out
+    return np.array(out, np.int64)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
+
 
+def _numbers(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and the lists' lengths."""
+    return col.flatten().to_numpy(zero_copy_only=False), col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> (doc_id, t: keys of all sentences, n: how many each sentence has)."""
     none = np.zeros(0, np.int64)
-    for pdf in parts:
-        keys, sizes = [], []
-        for text in pdf["text"]:
+    for batch in parts:
+        keys, sizes, many = [none], [none], []
+        for text in batch.column(1).to_pylist():
             each = [terms(s) for s in prose(text)]
-            keys.append(np.concatenate(each) if each else none)
-            sizes.append(np.array([len(s) for s in each], np.int32))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "t": keys, "n": sizes})
+            keys += each
+            sizes.append(np.array([len(t) for t in each], np.int64))
+            many.append(len(each))
+        n = np.concatenate(sizes)
+        of_doc = np.add.reduceat(np.append(n, 0), np.cumsum([0, *many])[:-1]) * (np.array(many) > 0) if many else none
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), _lists(np.concatenate(keys), of_doc, pa.int64()), _lists(n, np.array(many, np.int64), pa.int32())], ["doc_id", "t", "n"]
+        )
 
 
 @dataclass
@@ -162,155 +164,167 @@ def solve_block(h: np.ndarray, doc: np.ndarray, ids: np.ndarray, counts: np.ndar
     return w, part * (counts / np.maximum(part.sum(1), 1e-30))[:, None]
 
 
-def _vectors(model: Model):
-    """(t, n) -> (lang, ids, cnt): a document's known terms, weighted counts, and its language."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            lang, ids, cnt = [], [], []
-            for t in pdf["t"]:
-                at = model.find(np.asarray(t, np.int64))
-                own, c = np.unique(at[at >= 0], return_counts=True)
-                if not len(own):
-                    continue
-                lang.append(int((model.languages[:, own] @ c).argmax()))
-                ids.append(own.astype(np.int32))
-                cnt.append((c * model.idf[own]).astype(np.float32))
-            yield pd.DataFrame({"lang": np.array(lang, np.int32), "ids": ids, "cnt": cnt})
+def _code(model_cast):
+    """(doc_id, t, n, b) -> (doc_id, lang, ids: known terms of all sentences, n: how many each sentence has, b)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_cast.value
+        for batch in parts:
+            (t, of_doc), (n, many) = _numbers(batch.column(1)), _numbers(batch.column(2))
+            doc, sentence = np.repeat(np.arange(len(of_doc)), of_doc), np.repeat(np.arange(len(n)), n)
+            at = model.find(t)
+            known = at >= 0
+            at, doc, sentence = at[known], doc[known], sentence[known]
+            spoken = [np.bincount(doc, weights=rates[at], minlength=len(of_doc)) for rates in model.languages]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.argmax(spoken, axis=0).astype(np.int32)), _lists(at, np.bincount(doc, minlength=len(of_doc)), pa.int32()),
+                 _lists(np.bincount(sentence, minlength=len(n)), many, pa.int32()), batch.column(3)],
+                ["doc_id", "lang", "ids", "n", "b"],
+            )
 
     return run
 
 
-def _sums(h_cast, kind_cast, words_only: bool, rounds: int):
+def _sums(h_cast, idf_cast, rounds: int):
     """One pass of W updates: (lang, term, one sum a component)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h, kind = h_cast.value, kind_cast.value  # single precision: half the memory traffic
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, idf = h_cast.value, idf_cast.value  # single precision: half the memory traffic
         languages, k, v = h.shape
-        total = np.zeros((languages, v, k))
-        for pdf in parts:
-            for a in range(0, len(pdf), 512):  # fits the processor's cache
-                for lang, part in pdf.iloc[a : a + 512].groupby("lang"):
-                    sizes = part["ids"].map(len).to_numpy()
-                    doc = np.repeat(np.arange(len(part)), sizes)
-                    ids, cnt = np.concatenate(part["ids"].to_list()), np.concatenate(part["cnt"].to_list())
-                    if words_only:
-                        keep = kind[ids] == WORD
-                        doc, ids, cnt = doc[keep], ids[keep], cnt[keep]
-                        if not len(ids):
-                            continue
-                    there, doc = np.unique(doc, return_inverse=True)
-                    _, share = solve_block(h[lang], doc, ids, cnt, len(there), rounds)
+        total = np.zeros((languages, k, v))
+        for batch in parts:
+            lang = batch.column(0).to_numpy()
+            ids, sizes = _numbers(batch.column(1))
+            ends = np.cumsum(sizes)
+            for a in range(0, len(lang), 512):  # fits the processor's cache
+                part = slice(a, a + 512)
+                own = ids[ends[a] - sizes[a] : ends[part][-1]].astype(np.int64)
+                doc = np.repeat(np.arange(len(sizes[part])), sizes[part])
+                entry, count = np.unique(doc * v + own, return_counts=True)
+                doc, own = entry // v, entry % v
+                count = (count * idf[own]).astype(np.float32)
+                of = lang[part][doc]
+                for tongue in np.unique(of):
+                    pick = of == tongue
+                    there, row = np.unique(doc[pick], return_inverse=True)
+                    _, share = solve_block(h[tongue], row, own[pick], count[pick], len(there), rounds)
                     for c in range(k):
-                        total[lang, :, c] += np.bincount(ids, weights=share[:, c], minlength=v)
-        lang, term = np.nonzero(total.sum(2))
+                        total[tongue, c] += np.bincount(own[pick], weights=share[:, c], minlength=v)
+        lang, term = np.nonzero(total.sum(1))
         out = {"lang": lang.astype(np.int32), "term": term.astype(np.int32)}
-        yield pd.DataFrame(out | {f"c{c}": total[lang, term, c] for c in range(k)})
+        yield pa.RecordBatch.from_pydict(out | {f"c{c}": total[lang, c, term] for c in range(k)})
 
     return run
 
 
-def _gather(df: DataFrame, shape: tuple[int, int, int], words_only: bool, rounds: int, h: np.ndarray, kind_cast) -> np.ndarray:
-    languages, k, v = shape
-    # Bounded by parameters: languages x subjects x max_terms.
+def _gather(df: DataFrame, h: np.ndarray, idf_cast, rounds: int) -> np.ndarray:
+    languages, k, v = h.shape
+    # Bounded by the vocabulary: languages x subjects x terms.
     h_cast = df.sparkSession.sparkContext.broadcast(h.astype(np.float32))
     columns = [f"c{c}" for c in range(k)]
     rows = (
-        df.mapInPandas(_sums(h_cast, kind_cast, words_only, rounds), "lang int, term int, " + ", ".join(f"{c} double" for c in columns))
+        df.select("lang", "ids").mapInArrow(_sums(h_cast, idf_cast, rounds), "lang int, term int, " + ", ".join(f"{c} double" for c in columns))
         .groupBy("lang", "term").agg(*[F.sum(c).alias(c) for c in columns]).limit(languages * v + 1).toArrow()
     )
-    out = np.zeros((languages, v, k))
+    out = np.zeros(h.shape, np.float32)
     at = rows["lang"].to_numpy(), rows["term"].to_numpy()
     for c in range(k):
-        out[at[0], at[1], c] = rows[f"c{c}"].to_numpy()
+        out[at[0], c, at[1]] = rows[f"c{c}"].to_numpy()
     h_cast.destroy()
-    return out.transpose(0, 2, 1)
+    return out
 
 
-def fit_topics(
-    split: DataFrame, seeds: list[tuple[str, str, str]], subjects: list[str], n_docs: int, max_terms: int, min_docs: int,
-    pure: float = 0.8, anchor: float = 0.1, rounds: int = 5, first: int = 5, then: int = 4,
-) -> tuple[Model, np.ndarray]:
-    """(model, affinity): affinity is terms x subjects, the share of a term's mass that is a subject's."""
-    spark = split.sparkSession
+def _vocabulary(split: DataFrame, least: int, max_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, their document counts) of the terms in at least `least` documents."""
     counted = (
         split.select(F.explode(F.array_distinct("t")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-        .filter(F.col("df") >= min_docs).orderBy(F.desc("df"), "t").limit(max_terms).toArrow()
+        .filter(F.col("df") >= least).limit(max_terms + 1).toArrow()
     )
     keys, df = counted["t"].to_numpy(), counted["df"].to_numpy()
+    if len(keys) > max_terms:
+        raise ValueError(f"vocabulary: more than {max_terms} terms; raise term_share")
     order = np.argsort(keys)
-    keys, df = keys[order], df[order]
-    v, k = len(keys), len(subjects)
+    return keys[order], df[order]
+
+
+def seed_model(
+    keys: np.ndarray, df: np.ndarray, n_docs: int, seeds: list[tuple[str, str, str]], subjects: list[str], pure: float = 0.8
+) -> tuple[Model, np.ndarray]:
+    """(model without h, anchors: languages x subjects x terms).
+
+    A term that the seeds of a language give to one subject (at least `pure` of its rate) is its anchor.
+    """
     tongues = sorted({lang for _, lang, _ in seeds})
-    model = Model(keys, np.log(1 + n_docs / np.maximum(df, 1)), subjects, np.zeros((len(tongues), v)), np.zeros(0))
-    counts = np.zeros((len(tongues), k, v))
+    counts = np.zeros((len(tongues), len(subjects), len(keys)))
+    model = Model(keys, np.log(1 + n_docs / np.maximum(df, 1)), subjects, np.zeros((len(tongues), len(keys))), np.zeros(0))
     for subject, lang, text in seeds:
         at = model.find(np.concatenate([np.zeros(0, np.int64), *[terms(s) for s in prose(text)]]))
         np.add.at(counts[tongues.index(lang), subjects.index(subject)], at[at >= 0], 1)
     spoken = counts.sum(1)
     model.languages = np.log(spoken / np.maximum(spoken.sum(1, keepdims=True), 1) + 1e-6)
-    if not v or not tongues:
-        return model, np.zeros((v, k))
     rate = counts / np.maximum(counts.sum(2, keepdims=True), 1)
     purity = rate / np.maximum(rate.sum(1, keepdims=True), 1e-12)
     anchors = np.where((purity >= pure) & (counts >= 2), counts, 0) * model.idf
-    anchors /= np.maximum(anchors.sum(2, keepdims=True), 1e-9)
-    vectors = cut(split.select("t").mapInPandas(_vectors(model), "lang int, ids array<int>, cnt array<float>"))
-    kind = keys & 3
-    kind_cast = spark.sparkContext.broadcast(kind)
-    corpus = np.ones((len(tongues), v))
-    flat = np.tile(np.ones((1, 1, v)) / v, (len(tongues), k + 1, 1))
-    corpus = _gather(vectors, flat.shape, False, 0, flat, kind_cast).sum(1) + 1e-9
-    base = (corpus / corpus.sum(1, keepdims=True))[:, None, :]
+    return model, anchors / np.maximum(anchors.sum(2, keepdims=True), 1e-9)
+
+
+def fit_topics(
+    coded: DataFrame, model: Model, anchors: np.ndarray, batches: int, passes: int = 3, anchor: float = 0.1, decay: float = 0.3, rounds: int = 5
+) -> None:
+    """Set model.h.  `coded` has the batch of each document in column b, 0 to batches - 1."""
+    languages, k, v = anchors.shape
+    idf_cast = coded.sparkSession.sparkContext.broadcast(model.idf.astype(np.float32))
+    flat = np.full((languages, 1, v), 1 / v)
+    corpus = _gather(coded, flat, idf_cast, 0) + 1e-9
+    base = corpus / corpus.sum(2, keepdims=True)
     h = np.concatenate([0.95 * anchors + 0.05 * base, base], axis=1)
     h /= h.sum(2, keepdims=True)
-    num, rest = h, kind != WORD
-    for turn in range(first + then):
-        if turn == first:
-            # Terms that took no part so far start alike in all components: what the words have
-            # found out about their documents decides where they go.
-            h[:, :, ~rest] *= base[:, :, ~rest].sum(2, keepdims=True) / np.maximum(h[:, :, ~rest].sum(2, keepdims=True), 1e-30)
-            h[:, :, rest] = base[:, :, rest]
-        num = _gather(vectors, h.shape, turn < first, rounds, h, kind_cast)
-        mass = num.sum(2, keepdims=True) + 1e-9
-        new = num + 1e-9
-        new[:, :k] += anchor * mass[:, :k] * anchors
-        new += 0.002 * mass * base
-        h = new / new.sum(2, keepdims=True)
+    held, total = [0.0] * batches, 0.0
+    for turn in range(passes):
+        # Anchors found by chance lose their hold pass by pass; true ones keep their company.
+        weight = anchor * decay**turn
+        for b in range(batches):
+            # The batch's sums take the place of those of the pass before.
+            sums = _gather(coded.filter(F.col("b") == b), h, idf_cast, rounds)
+            total = total + sums - held[b]
+            held[b] = sums
+            mass = total.sum(2, keepdims=True) + 1e-9
+            new = np.maximum(total, 0) + 1e-9 + 0.002 * mass * base
+            new[:, :k] += weight * mass[:, :k] * anchors
+            h = new / new.sum(2, keepdims=True)
     model.h = h
-    whole = num.sum(0)
-    return model, (whole / np.maximum(whole.sum(0), 1e-30)).T[:, :k]
-
-
-def _assign(keys_cast, subjects: list[str], share: float, sure: float, votes: float, common: float):
-    """(doc_id, t, n) -> (doc_id, subject, part)."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, affinity = keys_cast.value
-        clear = np.where(affinity >= sure, affinity, 0)
-        said = affinity.sum(1) <= common  # terms that are no subject's
-        for pdf in parts:
-            ids, names, part = [], [], []
-            for doc, t, n in zip(pdf["doc_id"], pdf["t"], pdf["n"]):
-                if not len(n) or not len(keys):
-                    continue
-                t, n = np.asarray(t, np.int64), np.asarray(n, np.int64)
-                at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
-                known = keys[at] == t
-                score = clear[at] * known[:, None]
-                start = np.cumsum(n) - n
-                whole, none = score[start], known[start] & said[at[start]]
-                is_whole = whole.max(1) >= sure
-                score[start] = 0
-                voted = np.add.reduceat(score, start, axis=0)
-                best = np.where(is_whole, whole.argmax(1), voted.argmax(1))
-                top = is_whole | ((voted.max(1) >= votes) & ~none)
-                of = np.bincount(best[top], minlength=len(subjects)) / len(n)
-                for s in np.flatnonzero(of >= share - 1e-9):
-                    ids.append(doc)
-                    names.append(subjects[s])
-                    part.append(of[s])
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "subject": pd.Series(names, dtype=object), "part": np.array(part, np.float64)})
+
+
+def _assign(model_cast, share: float, sure: float, rounds: int):
+    """(doc_id, lang, ids, n) -> (doc_id, subject, part)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_cast.value
+        h, idf = model.h.astype(np.float32), model.idf.astype(np.float32)
+        k = len(model.subjects)
+        for batch in parts:
+            lang = batch.column(1).to_numpy()
+            (ids, _), (n, many) = _numbers(batch.column(2)), _numbers(batch.column(3))
+            doc, ends = np.repeat(np.arange(len(many)), many), np.cumsum(n)
+            of = np.zeros((len(many), k))
+            for a in range(0, len(n), 4096):
+                part = slice(a, a + 4096)
+                own = ids[ends[a] - n[a] : ends[part][-1]]
+                row = np.repeat(np.arange(len(n[part])), n[part])
+                tongue = lang[doc[part]][row]
+                for t in np.unique(tongue):
+                    pick = tongue == t
+                    there, of_row = np.unique(row[pick], return_inverse=True)
+                    w, _ = solve_block(h[t], of_row, own[pick], idf[own[pick]], len(there), rounds)
+                    best = w[:, :k].argmax(1)
+                    clear = w[np.arange(len(w)), best] >= sure * w.sum(1)
+                    np.add.at(of, (doc[part][there[clear]], best[clear]), 1)
+            of /= np.maximum(many, 1)[:, None]
+            at, subject = np.nonzero(of >= share - 1e-9)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), pa.array([model.subjects[s] for s in subject], pa.string()), pa.array(of[at, subject])],
+                ["doc_id", "subject", "part"],
+            )
 
     return run
 
@@ -320,11 +334,11 @@ def subject_areas(
     seeds: DataFrame,
     subjects: DataFrame,
     share: float = 0.2,
-    sure: float = 0.5,
-    votes: float = 0.9,
-    common: float = 0.1,
-    max_terms: int = 60_000,
+    sure: float = 0.25,
     min_docs: int = 5,
+    term_share: float = 2e-5,
+    batches: int = 8,
+    max_terms: int = 1_000_000,
     max_seeds: int = 100_000,
 ) -> DataFrame:
     """(doc_id, subject, part): each subject with at least `share` of a document's prose sentences.
@@ -334,17 +348,30 @@ def subject_areas(
     a document give one row a subject.  Seeds with a null field or a subject outside `subjects`
     are ignored; without usable seeds, or without documents, there are no rows.
 
-    `max_terms`: size of the vocabulary (terms of most documents first, at least `min_docs`
-    documents); it bounds what is broadcast and what the driver holds, whatever the corpus.
-    `sure`: share of a term's mass from which it counts for a subject; `votes`: sum of these
-    shares that a sentence needs; `common`: share below which all subjects together leave a
-    known whole sentence to none, whatever its words.
+    `min_docs`, `term_share`: a term is known if it is in `min_docs` documents and in this share
+    of them.  As a document has so many terms, the share bounds the vocabulary (what is broadcast
+    and what the driver holds) whatever the corpus; more than `max_terms` raise an error.
+    `sure`: part of a sentence's mixture from which it deals with its main subject.
+    `batches`: parts of the corpus after each of which the components are renewed.
     """
+    spark = docs.sparkSession
     names = sorted({r[0] for r in collect_bounded(subjects.select("subject").filter("subject is not null"), max_seeds, "subjects")})
     given = collect_bounded(seeds.select("subject", "lang", "text").na.drop(), max_seeds, "subject_seeds")
     given = [(r[0], r[1], r[2]) for r in given if r[0] in names]
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = cut(own.filter("doc_id is not null and text is not null").mapInPandas(_split, "doc_id bigint, t array<bigint>, n array<int>"))
-    model, affinity = fit_topics(split, given, names, split.count(), max_terms, min_docs)
-    cast = docs.sparkSession.sparkContext.broadcast((model.keys, affinity.astype(np.float32)))
-    return split.mapInPandas(_assign(cast, names, share, sure, votes, common), "doc_id bigint, subject string, part double").dropDuplicates(["doc_id", "subject"])
+    own = spread(own.filter("doc_id is not null and text is not null"))
+    split, keys_at = store(own.mapInArrow(_split, "doc_id bigint, t array<bigint>, n array<int>").filter(F.size("n") > 0))
+    n_docs = split.count()
+    keys, df = _vocabulary(split, max(min_docs, math.ceil(term_share * n_docs)), max_terms)
+    if not len(keys) or not given:
+        discard(spark, keys_at)
+        return spark.createDataFrame([], "doc_id bigint, subject string, part double")
+    model, anchors = seed_model(keys, df, n_docs, given, names)
+    cast = spark.sparkContext.broadcast(model)
+    numbered = split.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    coded, _ = store(numbered.mapInArrow(_code(cast), "doc_id bigint, lang int, ids array<int>, n array<int>, b int"), "b")
+    discard(spark, keys_at)
+    fit_topics(coded, model, anchors, batches)
+    fitted = spark.sparkContext.broadcast(model)
+    found = coded.select("doc_id", "lang", "ids", "n").mapInArrow(_assign(fitted, share, sure, 5), "doc_id bigint, subject string, part double")
+    return found.dropDuplicates(["doc_id", "subject"])
