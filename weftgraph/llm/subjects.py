@@ -10,7 +10,7 @@
    texts give to one subject anchor its component: they start H, and go on weighing in
    each update with a share of the component's mass; a term that keeps their company
    moves to their component.  H is renewed after each batch of documents, from the latest
-   sums of all batches, so that three passes over all documents do the work of many more.
+   sums of all batches, so that two passes over all documents do the work of many more.
    W is solved inside the tasks; what leaves a task is its sums for H, at most one row a
    term and language.
 3. Then each sentence is a row: its W, solved with H fixed, is its mixture.  A sentence deals
@@ -28,6 +28,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,44 @@ from weftgraph.core.session import collect_bounded, discard, spread, store
 
 _END = re.compile(r"(?<=[.?!])[\"')\]]*(?:\s+|$)|(?<=[。？！])|(?<=[?!])(?=[぀-ヿ㐀-鿿豈-﫿])")
 _ENDED = re.compile(r"[.?!。？！][\"')\]]*$")
-_CODE = re.compile(r"[=_{}\[\]<>|]|;\s*$|\w\(|^\s*(?:def|class|import|from|return|pip)\s", re.I)
-_LOG = re.compile(r"^\W*(?:\d{1,2}:\d\d(?::\d\d)?\b|\w+=[-+.\d]+)")  # a value inside a line is _CODE of its sentence
-_TRACE = re.compile(r"^\s*traceback\b|^\s*file \"|^\s*\w*(?:error|exception)\s*:", re.I)
-_LEAD = re.compile(r"^(?:[\s>#*+\-•]+|\d+[.)]\s+|r?\"{3}|r?'{3}|@\w+[\s:>]*)+")
-_SPEAKER = re.compile(r"^[^\W\d]{2,20}\s?[:：]\s*")
-_GREETING = re.compile(r"\bthanks\b|\bthank you\b|^(?:hi|hello|hey|dear|hallo|danke|hola|gracias|vielen dank|saludos|regards|cheers)\b|谢谢|你好|大家好", re.I)
+_MARKS = frozenset("=_{}[]<>|")  # of code
+_CALL = re.compile(r"\w\(")
+_KEYWORDS = frozenset(("def", "class", "import", "from", "return", "pip"))
+_LOG = re.compile(r"\W*(?:\d{1,2}:\d\d(?::\d\d)?\b|\w+=[-+.\d]+)")  # a value inside a line is code of its sentence
+_TRACE = re.compile(r"\s*(?:traceback\b|file \"|\w*(?:error|exception)\s*:)", re.I)
+_LEAD = re.compile(r"(?:[\s>#*+\-•]+|\d+[.)]\s+|r?\"{3}|r?'{3}|@\w+[\s:>]*)+")
+_SPEAKER = re.compile(r"[^\W\d]{2,20}\s?[:：]\s*")
+_OPENINGS = frozenset("hi hello hey dear hallo danke hola gracias saludos regards cheers".split())  # words a greeting starts with
+_GREETING = re.compile(r"\bthanks\b|\bthank you\b|^vielen dank\b", re.I)
+_GREETING_WIDE = ("谢谢", "你好", "大家好")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>")
 _WORD = re.compile(r"[^\W\d_]+")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]+")
+_CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]+")
+_FIRST = re.compile(r"\w+")
+
+
+def _bare(s: str) -> str:
+    """Without leading markers, numbering and a speaker's name."""
+    if s and not s[0].isalpha() or s.startswith(("r'", 'r"')):
+        m = _LEAD.match(s)
+        s = s[m.end() :] if m else s
+    if ":" in s[:23] or "：" in s[:23]:
+        m = _SPEAKER.match(s)
+        s = s[m.end() :] if m else s
+    return s
+
+
+def _is_code(s: str) -> bool:
+    if not _MARKS.isdisjoint(s) or s.rstrip().endswith(";") or "(" in s and _CALL.search(s):
+        return True
+    first = s.split(None, 1)
+    return len(first) == 2 and first[0].lower() in _KEYWORDS
+
+
+def _is_greeting(s: str) -> bool:
+    first = _FIRST.match(s)
+    low = s.lower()
+    return bool(first) and first[0].lower() in _OPENINGS or ("thank" in low or "dank" in low) and bool(_GREETING.search(s)) or not s.isascii() and any(w in s for w in _GREETING_WIDE)
 
 
 def prose(text: str | None) -> list[str]:
@@ -55,7 +85,10 @@ def prose(text: str | None) -> list[str]:
     if not text:
         return []
     text = unicodedata.normalize("NFKC", text.replace("\r\n", "\n").replace("\r", "\n")).replace("​", "").replace("﻿", "")
-    text = _TAG.sub(" ", html.unescape(text))
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
     out, fenced, trace = [], False, False
     for line in text.split("\n"):
         bare = line.strip()
@@ -65,17 +98,16 @@ def prose(text: str | None) -> list[str]:
         if not bare:
             trace = False
             continue
-        if _TRACE.search(bare):
+        if (":" in bare or bare[:9].lower() == "traceback" or bare[:4].lower() == "file") and _TRACE.match(bare):
             trace = True
-        if fenced or trace or _LOG.search(bare):
+        if fenced or trace or ("=" in bare or ":" in bare) and _LOG.match(bare):
             continue
-        bare = _SPEAKER.sub("", _LEAD.sub("", bare))
-        for s in _END.split(bare):
-            s = _SPEAKER.sub("", _LEAD.sub("", s.strip()))
-            if not s or _GREETING.search(s) or _CODE.search(s):
+        for s in _END.split(_bare(bare)):
+            s = _bare(s.strip())
+            if not s or _is_greeting(s) or _is_code(s):
                 continue
             words = min(len(_WORD.findall(s)), len(s.split()))  # letters within one long code are no words
-            wide = sum(map(len, _CJK.findall(s)))
+            wide = 0 if s.isascii() else sum(map(len, _CJK.findall(s)))
             if wide >= 4 or words >= (3 if _ENDED.search(s) else 6):
                 out.append(s)
     return out
@@ -91,17 +123,34 @@ def _key(term: str, kind: int) -> int:
 _DIGITS = re.compile(r"\d+")
 
 
+@lru_cache(50_000)  # forms recur
+def _word(w: str) -> int:
+    return _key(w, WORD)
+
+
+@lru_cache(50_000)
+def _pair(a: str, b: str) -> int:
+    return _key(f"{a} {b}", PAIR)
+
+
 def terms(sentence: str) -> np.ndarray:
-    """Keys of a sentence's terms: words and pairs of neighbouring words."""
-    flat = _DIGITS.sub("9", sentence.lower())
+    """Keys of a sentence's terms: words and pairs of neighbouring words.  Numbers are all alike."""
+    return _terms(_DIGITS.sub("9", sentence.lower()))
+
+
+@lru_cache(50_000)
+def _terms(flat: str) -> np.ndarray:
     if not flat.isascii():
         flat = "".join(c for c in unicodedata.normalize("NFKD", flat) if not unicodedata.combining(c))
-    words = _WORD.findall(_CJK.sub(" ", flat))
-    out = [_key(w, WORD) for w in words if len(w) > 1]
-    out += [_key(f"{a} {b}", PAIR) for a, b in zip(words, words[1:])]
-    for run in _CJK.findall(flat):
-        for n in (2, 3):
-            out += [_key(run[i : i + n], WORD) for i in range(len(run) - n + 1)]
+        words = _WORD.findall(_CJK.sub(" ", flat))
+    else:
+        words = _WORD.findall(flat)
+    out = [_word(w) for w in words if len(w) > 1]
+    out += map(_pair, words, words[1:])
+    if not flat.isascii():
+        for run in _CJK.findall(flat):
+            for n in (2, 3):
+                out += [_word(run[i : i + n]) for i in range(len(run) - n + 1)]
     return np.array(out, np.int64)
 
 
@@ -248,28 +297,33 @@ def _vocabulary(split: DataFrame, least: int, max_terms: int) -> tuple[np.ndarra
 
 
 def seed_model(
-    keys: np.ndarray, df: np.ndarray, n_docs: int, seeds: list[tuple[str, str, str]], subjects: list[str], pure: float = 0.8
+    keys: np.ndarray, df: np.ndarray, n_docs: int, seeds: list[tuple[str, str, str]], subjects: list[str], pure: float = 0.8, broad: float = 0.2
 ) -> tuple[Model, np.ndarray]:
     """(model without h, anchors: languages x subjects x terms).
 
-    A term that the seeds of a language give to one subject (at least `pure` of its rate) is its anchor.
+    A term that the seeds of a language give to one subject (at least `pure` of its rate), in two of
+    the subject's seeds and a share `broad` of them at least, is its anchor.
     """
     tongues = sorted({lang for _, lang, _ in seeds})
     counts = np.zeros((len(tongues), len(subjects), len(keys)))
+    within, given = np.zeros(counts.shape), np.zeros(counts.shape[:2])  # seeds with a term, and all
     model = Model(keys, np.log(1 + n_docs / np.maximum(df, 1)), subjects, np.zeros((len(tongues), len(keys))), np.zeros(0))
     for subject, lang, text in seeds:
         at = model.find(np.concatenate([np.zeros(0, np.int64), *[terms(s) for s in prose(text)]]))
-        np.add.at(counts[tongues.index(lang), subjects.index(subject)], at[at >= 0], 1)
+        to = tongues.index(lang), subjects.index(subject)
+        np.add.at(counts[to], at[at >= 0], 1)
+        within[to][np.unique(at[at >= 0])] += 1
+        given[to] += 1
     spoken = counts.sum(1)
     model.languages = np.log(spoken / np.maximum(spoken.sum(1, keepdims=True), 1) + 1e-6)
     rate = counts / np.maximum(counts.sum(2, keepdims=True), 1)
     purity = rate / np.maximum(rate.sum(1, keepdims=True), 1e-12)
-    anchors = np.where((purity >= pure) & (counts >= 2), counts, 0) * model.idf
+    anchors = np.where((purity >= pure) & (within >= np.maximum(2, broad * given)[:, :, None]), counts, 0) * model.idf
     return model, anchors / np.maximum(anchors.sum(2, keepdims=True), 1e-9)
 
 
 def fit_topics(
-    coded: DataFrame, model: Model, anchors: np.ndarray, batches: int, passes: int = 3, anchor: float = 0.1, decay: float = 0.3, rounds: int = 5
+    coded: DataFrame, model: Model, anchors: np.ndarray, batches: int, passes: int = 2, anchor: float = 0.1, decay: float = 0.3, rounds: int = 5
 ) -> None:
     """Set model.h.  `coded` has the batch of each document in column b, 0 to batches - 1."""
     languages, k, v = anchors.shape
@@ -334,7 +388,7 @@ def subject_areas(
     seeds: DataFrame,
     subjects: DataFrame,
     share: float = 0.2,
-    sure: float = 0.25,
+    sure: float = 0.15,
     min_docs: int = 5,
     term_share: float = 2e-5,
     batches: int = 8,
