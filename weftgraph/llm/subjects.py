@@ -213,8 +213,11 @@ def solve_block(h: np.ndarray, doc: np.ndarray, ids: np.ndarray, counts: np.ndar
     return w, part * (counts / np.maximum(part.sum(1), 1e-30))[:, None]
 
 
-def _code(model_cast):
-    """(doc_id, t, n, b) -> (doc_id, lang, ids: known terms of all sentences, n: how many each sentence has, b)."""
+def _code(model_cast, understood: float):
+    """(doc_id, t, n, b) -> (doc_id, lang, ids: known terms of all sentences, n: how many each sentence has, b).
+
+    A sentence of which less than `understood` of its terms are known counts as having none.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_cast.value
@@ -223,6 +226,7 @@ def _code(model_cast):
             doc, sentence = np.repeat(np.arange(len(of_doc)), of_doc), np.repeat(np.arange(len(n)), n)
             at = model.find(t)
             known = at >= 0
+            known &= (np.bincount(sentence[known], minlength=len(n)) >= understood * n)[sentence]
             at, doc, sentence = at[known], doc[known], sentence[known]
             spoken = [np.bincount(doc, weights=rates[at], minlength=len(of_doc)) for rates in model.languages]
             yield pa.RecordBatch.from_arrays(
@@ -389,6 +393,7 @@ def subject_areas(
     subjects: DataFrame,
     share: float = 0.2,
     sure: float = 0.15,
+    understood: float = 0.1,
     min_docs: int = 5,
     term_share: float = 2e-5,
     batches: int = 8,
@@ -406,6 +411,7 @@ def subject_areas(
     of them.  As a document has so many terms, the share bounds the vocabulary (what is broadcast
     and what the driver holds) whatever the corpus; more than `max_terms` raise an error.
     `sure`: part of a sentence's mixture from which it deals with its main subject.
+    `understood`: part of a sentence's terms that must be known; else it is prose without subject.
     `batches`: parts of the corpus after each of which the components are renewed.
     """
     spark = docs.sparkSession
@@ -423,7 +429,7 @@ def subject_areas(
     model, anchors = seed_model(keys, df, n_docs, given, names)
     cast = spark.sparkContext.broadcast(model)
     numbered = split.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    coded, _ = store(numbered.mapInArrow(_code(cast), "doc_id bigint, lang int, ids array<int>, n array<int>, b int"), "b")
+    coded, _ = store(numbered.mapInArrow(_code(cast, understood), "doc_id bigint, lang int, ids array<int>, n array<int>, b int"), "b")
     discard(spark, keys_at)
     fit_topics(coded, model, anchors, batches)
     fitted = spark.sparkContext.broadcast(model)
