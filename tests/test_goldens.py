@@ -321,19 +321,19 @@ def test_all_types_take_part(spark, tmp_path):
     spark.createDataFrame([("graph", 1)], "scope string, node_id bigint").write.parquet(f"{tmp_path}/anchor_nodes.parquet")
     spark.createDataFrame([(1, 4, None)], "src bigint, dst bigint, matched boolean").write.parquet(f"{tmp_path}/graph_matches.parquet")
     run = lambda name: rows((features if name.startswith("target") else sampling).queries[name](spark, str(tmp_path)))
-    assert run("cycle_counts_all") == [(2, 1)] and run("triangles_all") == [(1, 2, 3), (1, 3, 4)]
-    assert [r[0] for r in run("khop_nodes_all")] == [1, 3, 4] and [r[0] for r in run("khop_nodes_out_all")] == [1, 2, 3, 4]
-    assert len(run("khop_subgraph_all")) == 3 and sum(r[3] for r in run("khop_edge_mask_all")) == 3
-    assert sorted(r[2] for r in run("simple_paths_all")) == ["1,2,3,4", "1,3,4"]
-    assert {r[1]: r[2] for r in run("shortest_path_distance_all")} == {1: 0, 2: 1, 3: 1, 4: 2}
-    assert {r[1]: r[2] for r in run("shortest_path_nodes_all")}[4] == "1,3,4" and len(run("bfs_tree_order_all")) == 4
+    assert run("cycle_counts") == [(2, 1)] and run("triangles") == [(1, 2, 3), (1, 3, 4)]
+    assert [r[0] for r in run("khop_nodes")] == [1, 3, 4] and [r[0] for r in run("khop_nodes_out")] == [1, 2, 3, 4]
+    assert len(run("khop_subgraph")) == 3 and sum(r[3] for r in run("khop_edge_mask")) == 3
+    assert sorted(r[2] for r in run("simple_paths")) == ["1,2,3,4", "1,3,4"]
+    assert {r[1]: r[2] for r in run("shortest_path_distance")} == {1: 0, 2: 1, 3: 1, 4: 2}
+    assert {r[1]: r[2] for r in run("shortest_path_nodes")}[4] == "1,3,4" and len(run("bfs_tree_order")) == 4
     assert {r[1] for r in run("enclosing_subgraph_labels")} == {1, 2, 3, 4}
-    assert len(run("node2vec_probabilities_all")) == 6 and len(run("target_matrix_all")) == 10
+    assert len(run("node2vec_probabilities")) == 6 and len(run("target_matrix")) == 10
 
 
 def test_attributes_of_all_nodes(spark, tmp_path):
-    from weftgraph.plans.features import gather_attributes_all
+    from weftgraph.plans.features import gather_attributes
 
     spark.createDataFrame([(i, i + 10) for i in range(7)], "id bigint, y bigint").write.parquet(f"{tmp_path}/graph_nodes.parquet")
     spark.createDataFrame([("graph", 1)], "scope string, node_id bigint").write.parquet(f"{tmp_path}/anchor_nodes.parquet")
-    assert rows(gather_attributes_all(spark, str(tmp_path))) == [(i, i + 10) for i in range(7)]
+    assert rows(gather_attributes(spark, str(tmp_path))) == [(i, i + 10) for i in range(7)]

@@ -123,9 +123,16 @@ def upper_triangle(edges: DataFrame, keep: str = "upper") -> DataFrame:
     return edges.filter("src <= dst" if keep == "upper" else "src >= dst")
 
 
-def csr(edges: DataFrame) -> DataFrame:
-    """(id, neighbours): adjacency lists, sorted.  For export; a hub's list is as long as its degree."""
-    return edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
+def csr(edges: DataFrame, block: int = 65_536) -> DataFrame:
+    """(id, part, neighbours): distinct neighbours in order, at most `block` in a row, parts numbered from 0."""
+    from weftgraph.core.session import cut
+    from weftgraph.operators.segment import with_dense_ids
+
+    e = edges.select("src", "dst").distinct().withColumn("__k", F.struct("src", "dst"))
+    e = cut(with_dense_ids(e, "__k", "__p").drop("__k"))
+    first = e.groupBy("src").agg(F.min("__p").alias("__f"))
+    e = e.join(first, "src").withColumn("part", F.floor((F.col("__p") - F.col("__f")) / block).cast("bigint"))
+    return e.groupBy(F.col("src").alias("id"), "part").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
 def edge_number(src: Column, dst: Column, n: int, mode: str = "bipartite") -> Column:

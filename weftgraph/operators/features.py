@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,50 +63,94 @@ def normalize_signs(nodes: DataFrame, x: str = "x") -> DataFrame:
     return n.withColumn(x, F.transform(F.col(x), lambda v: F.when(v >= 0, v / F.col("__p")).otherwise(v / F.col("__n")))).drop("__p", "__n")
 
 
+def _gram(width: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((width, width))
+        for batch in parts:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            g += x.T @ x
+        yield pa.RecordBatch.from_pydict({"p": np.arange(width * width, dtype=np.int32), "g": g.ravel()})
+
+    return run
+
+
 def svd_reduce(nodes: DataFrame, width: int, out_width: int, x: str = "x") -> DataFrame:
     """U S of the truncated singular value decomposition, only where it narrows x.
 
-    The Gram matrix (width x width mergeable sums) is decomposed on the driver; each row is
-    projected on its eigenvectors.  The sign of a component is that of its largest loading.
+    The Gram matrix (one of width x width a task, then sums) is decomposed on the driver; each row
+    is projected on its eigenvectors.  The sign of a component is that of its largest loading.
     """
     if out_width >= width:
         return nodes
-    c = [F.get(x, F.lit(i)) for i in range(width)]
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    r = nodes.agg(*[F.sum(c[i] * c[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    g = np.zeros((width, width))
-    for i, j in pairs:
-        g[i, j] = g[j, i] = r[f"g{i}_{j}"] or 0.0
-    _, v = np.linalg.eigh(g)
+    sums = nodes.select(F.col(x).cast("array<double>").alias("x")).filter(F.size("x") == width).mapInArrow(_gram(width), "p int, g double")
+    g = np.zeros(width * width)
+    for r in collect_bounded(sums.groupBy("p").agg(F.sum("g").alias("g")), width * width, "Gram matrix"):
+        g[r["p"]] = r["g"]
+    _, v = np.linalg.eigh(g.reshape(width, width))
     v = v[:, ::-1][:, :out_width]
     v = v * np.sign(v[np.abs(v).argmax(0), np.arange(out_width)])
     return nodes.withColumn(x, vec.linear(F.col(x), v.tolist()))
 
 
-def knn_blocked(nodes: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", batch: str | None = None, include_self: bool = False, blocks: int = 8) -> DataFrame:
+def _knn_block(k: int, metric: str, include_self: bool):
+    """For applyInPandas: the items and queries of one block -> the k best items of each query."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_q = pdf["__q"].to_numpy()
+        items, q = pdf[~is_q], pdf[is_q]
+        out = []
+        if len(items) and len(q):
+            y, other = np.stack(items["x"].to_list()), items["id"].to_numpy()
+            half = (y * y).sum(1)
+            for a in range(0, len(q), step := max(1, 2_000_000 // len(items))):
+                x, ids = np.stack(q["x"].iloc[a : a + step].to_list()), q["id"].to_numpy()[a : a + step]
+                dot, own = x @ y.T, (x * x).sum(1)[:, None]
+                # Equal vectors must tie, whatever the order a product was summed in.
+                value = np.round(-dot / np.sqrt(own * half) if metric == "cosine" else own + half - 2 * dot, 12)
+                if not include_self:
+                    value[ids[:, None] == other] = np.inf
+                best = min(k, len(other)) - 1
+                row, col = np.nonzero((value <= np.partition(value, best, 1)[:, best : best + 1]) & np.isfinite(value))
+                v, o = value[row, col], other[col]
+                order = np.lexsort((o, v, row))
+                row, v, o = row[order], v[order], o[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append(pd.DataFrame({"id": ids[row[keep]], "other": o[keep], "value": v[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "value": []})
+
+    return run
+
+
+def knn_blocked(nodes: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", batch: str | None = None, include_self: bool = False, block: int = 16_384) -> DataFrame:
     """(id, other, rank, value): exact k nearest `nodes` of each row of `queries` (id, x[, batch]).
 
-    The stated queries meet the items block by block: items get a hash block, queries one copy
-    a block, and each (block[, batch]) keeps its k best before they are merged.  metric: `cosine`
-    (largest first) or `euclidean` (squared distance, smallest first); ties by other's id.
+    The stated queries meet the items block by block: items get a hash block of about `block`
+    rows, queries a part of a quarter of that, and each pair of both (with each batch, if given) is
+    one matrix product that keeps its k best before they are merged.  metric: `cosine` (largest
+    first) or `euclidean` (squared distance, smallest first); ties by other's id.  Rows without
+    id or vector are left out, as are zero vectors for `cosine`.
     """
-    keys = [batch] if batch else []
-    items = nodes.select(*keys, F.col("id").alias("other"), F.col("x").alias("__y"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__b"))
-    q = queries.select(*keys, "id", F.col("x").alias("__x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("__b"))
-    j = q.join(items, [*keys, "__b"])
-    if not include_self:
-        j = j.filter("id <> other")
+    some = F.col("id").isNotNull() & F.col("x").isNotNull()
     if metric == "cosine":
-        value = vec.cosine(F.col("__x"), F.col("__y"))
-        order = F.desc("value")
-    else:
-        diff = vec.sub(F.col("__x"), F.col("__y"))
-        value, order = vec.dot(diff, diff), F.asc("value")
-    j = j.select(*keys, "__b", "id", "other", value.alias("value"))
-    inner = F.row_number().over(Window.partitionBy("__b", *keys, "id").orderBy(order, "other"))
-    best = j.withColumn("__r", inner).filter(F.col("__r") <= k)
-    rank = F.row_number().over(Window.partitionBy(*keys, "id").orderBy(order, "other"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, "id", "other", "rank", "value")
+        some = some & F.exists("x", lambda v: v != 0)
+    keys = [batch] if batch else []
+    nodes, queries = nodes.filter(some).select(*keys, "id", "x"), queries.filter(some).select(*keys, "id", "x")
+    count = lambda d, size: max(1, -(-d.count() // size))
+    blocks, parts = count(nodes, block), count(queries, block // 4)
+    place = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = nodes.select("*", place(blocks, 1).alias("__b"), copies(parts).alias("__p"), F.lit(False).alias("__q")).unionByName(
+        queries.select("*", place(parts, 2).alias("__p"), copies(blocks).alias("__b"), F.lit(True).alias("__q"))
+    )
+    of = f", {batch} {dict(nodes.dtypes)[batch]}" if batch else ""
+    score = _knn_block(k, metric, include_self)
+    if batch:
+        inner = score
+        score = lambda pdf: inner(pdf).assign(**{batch: pdf[batch].iloc[0]})
+    best = both.groupBy(*keys, "__b", "__p").applyInPandas(score, "id bigint, other bigint, value double" + of)
+    rank = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("value", "other"))
+    value = -F.col("value") if metric == "cosine" else F.col("value")
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, "id", "other", "rank", value.alias("value"))
 
 
 def edge_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -146,10 +194,15 @@ def prune_small_rows(nodes: DataFrame, width: int, threshold: float, x: str = "x
 
 
 def prune_largest_rows(nodes: DataFrame, width: int, share: float, x: str = "x") -> DataFrame:
-    """The floor(n * share) rows of LARGEST norm become zeros (ties by id); adds `kept`."""
+    """The floor(n * share) rows of LARGEST norm become zeros (ties by id); adds `kept`.
+
+    The last to go is found by dense ids over a range partition of (norm, id); no task sorts more.
+    """
+    from weftgraph.operators.segment import with_dense_ids
+
     n = nodes.count()
-    gone = nodes.select("id", vec.norm(F.col(x)).alias("__n")).orderBy(F.desc("__n"), "id").limit(int(n * share)).select("id", F.lit(False).alias("__k"))
-    j = nodes.join(gone, "id", "left").withColumn("kept", F.coalesce("__k", F.lit(True))).drop("__k")
+    ranked = with_dense_ids(nodes.withColumn("__k", F.struct((-vec.norm(F.col(x))).alias("n"), F.col("id").alias("i"))), "__k", "__p")
+    j = ranked.withColumn("kept", F.col("__p") >= F.lit(int(n * share))).drop("__k", "__p")
     return j.withColumn(x, F.when(F.col("kept"), F.col(x)).otherwise(vec.zeros(width)))
 
 

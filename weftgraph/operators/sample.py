@@ -169,19 +169,38 @@ def metapath_walks(edges: DataFrame, starts: DataFrame, relations: list[str], le
     return out
 
 
+def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The `n` rows of smallest `key` (unique values): dense ids over a range partition, no single task."""
+    return with_dense_ids(df, key, "__p").filter(F.col("__p") < n).drop("__p")
+
+
 def negative_edges(edges: DataFrame, n: int, n_src: int, n_dst: int, seed: int, loops: bool = False, rounds: int = 3) -> DataFrame:
-    """(src, dst): `n` distinct pairs that are no edges, drawn by seed; fewer only if the rounds do not find as many.
+    """(src, dst): `n` distinct pairs that are no edges, drawn by seed; fewer only if there are no more.
 
     Candidate j is the pair (u_j n_src, v_j n_dst) with u, v functions of (seed, j): generated,
-    not crossed.  Ids are 0 .. n_src - 1 and 0 .. n_dst - 1.
+    not crossed, first n * rounds and then, as long as some are lacking, twice as many.  From
+    n_src * n_dst candidates on, what draws have left out is filled with the free pairs of smallest
+    number (a graph that dense has few).  Ids are 0 .. n_src - 1 and 0 .. n_dst - 1.
     """
     spark = edges.sparkSession
-    j = spark.range(0, n * rounds).withColumnRenamed("id", "j")
-    c = j.select("j", pick(F.lit(n_src), seed, F.lit("s"), F.col("j")).alias("src"), pick(F.lit(n_dst), seed, F.lit("d"), F.col("j")).alias("dst"))
-    if not loops:
-        c = c.filter("src <> dst")
-    c = c.groupBy("src", "dst").agg(F.min("j").alias("j")).join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    return c.orderBy("j").limit(n).select("src", "dst")
+    known = cut(edges.select("src", "dst").distinct())
+
+    def free(c: DataFrame) -> DataFrame:
+        c = c if loops else c.filter("src <> dst")
+        return c.groupBy("src", "dst").agg(F.min("j").alias("j")).join(known, ["src", "dst"], "left_anti")
+
+    count = max(1, n * rounds)
+    while True:
+        j = spark.range(0, count).withColumnRenamed("id", "j")
+        drawn = cut(free(j.select("j", pick(F.lit(n_src), seed, F.lit("s"), F.col("j")).alias("src"), pick(F.lit(n_dst), seed, F.lit("d"), F.col("j")).alias("dst"))))
+        if drawn.count() >= n:
+            break
+        if count >= n_src * n_dst:
+            number = spark.range(0, n_src * n_dst).select((F.col("id") + count).alias("j"), F.floor(F.col("id") / n_dst).alias("src"), (F.col("id") % n_dst).alias("dst"))
+            drawn = drawn.unionByName(free(number).join(drawn.select("src", "dst"), ["src", "dst"], "left_anti"))
+            break
+        count *= 2
+    return first_rows(drawn, "j", n).select("src", "dst")
 
 
 def keep_edges(edges: DataFrame, drop: float, seed: int, keys: list[str]) -> DataFrame:
@@ -197,7 +216,7 @@ def drop_features(nodes: DataFrame, width: int, drop: float, seed: int, x: str =
 
 def saint_node_sample(edges: DataFrame, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, induced edges): the sources of `n` edges drawn by digest of `eid`."""
-    drawn = edges.orderBy(order_key(seed, F.col("eid")), "eid").limit(n)
+    drawn = first_rows(edges.withColumn("__k", F.struct(order_key(seed, F.col("eid")).alias("h"), "eid")), "__k", n)
     nodes = cut(drawn.select(F.col("src").alias("id")).distinct())
     return nodes, induced(edges, nodes)
 

@@ -146,15 +146,25 @@ def ind2ptr(edges: DataFrame, side: str, universe: DataFrame) -> DataFrame:
     return running_total(counts, "id", "n")
 
 
+BLOCK = 65_536
+
+
+def _repeated(df: DataFrame, count: str) -> DataFrame:
+    """Each row `count` times, with column `__i` from 0: by blocks, so no array is longer than BLOCK."""
+    n = F.col(count).cast("bigint")
+    d = df.filter(n > 0).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / BLOCK))))
+    last = F.least(n - F.col("__b") * BLOCK, F.lit(BLOCK).cast("bigint")) - 1
+    return d.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn("__i", F.col("__b") * BLOCK + F.col("__o")).drop("__b", "__o")
+
+
 def ptr2ind(pointers: DataFrame) -> DataFrame:
     """(id, pos): one row for each position that a pointer table (id, ptr, n) covers."""
-    some = pointers.filter("n > 0")
-    return some.select("id", F.explode(F.sequence(F.col("ptr"), F.col("ptr") + F.col("n") - 1)).alias("pos"))
+    return _repeated(pointers.select("id", "ptr", "n"), "n").select("id", (F.col("ptr") + F.col("__i")).alias("pos"))
 
 
 def repeat_interleave(df: DataFrame, value: str, count: str) -> DataFrame:
     """Each row's value `count` times."""
-    return df.filter(F.col(count) > 0).select(F.explode(F.array_repeat(F.col(value), F.col(count).cast("int"))).alias(value))
+    return _repeated(df.select(value, F.col(count).alias("__n")), "__n").select(value)
 
 
 def bincount(df: DataFrame, batch: str, code: str) -> DataFrame:

@@ -5,7 +5,7 @@ A step joins the frontier, not the visited set, with the edges; lineage is cut o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.core.session import cut
@@ -20,7 +20,7 @@ def k_hop_nodes(edges: DataFrame, seeds: DataFrame, hops: int, reverse: bool = F
     """
     keys = keys or []
     here, there = ("src", "dst") if reverse else ("dst", "src")
-    step = edges.select(F.col(here).alias("id"), F.col(there).alias("to")).distinct()
+    step = edges.select(F.col(here).alias("id"), F.col(there).alias("to"))  # the reached are made distinct
     seen = cut(seeds.select(*keys, "id").distinct().withColumn("hop", F.lit(0)))
     frontier = seen
     for hop in range(1, hops + 1):
@@ -66,7 +66,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: int, keys: list
     source itself has dist 0 and a null parent.
     """
     keys = keys or []
-    step = edges.select(*keys, F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
+    step = edges.select(*keys, F.col("src").alias("id"), F.col("dst").alias("to"))  # the reached are grouped
     seen = cut(sources.select(*keys, "source", F.col("source").alias("id"), F.lit(0).alias("dist"), F.lit(None).cast("bigint").alias("parent")).distinct())
     frontier = seen
     for dist in range(1, cutoff + 1):
@@ -198,6 +198,11 @@ def cycle_counts(edges: DataFrame) -> DataFrame:
 
 
 def bfs_order(tree: DataFrame) -> DataFrame:
-    """Adds `pos`, the place of a node in its source's breadth-first order (distance, then id)."""
-    w = Window.partitionBy("source").orderBy("dist", "id")
-    return tree.withColumn("pos", F.row_number().over(w) - 1)
+    """Adds `pos`, the place of a node in its source's breadth-first order (distance, then id).
+
+    Dense ids over all sources (a range partition of source, distance and id) less the source's
+    first: a source that reaches all nodes is no task of its own.
+    """
+    t = cut(with_dense_ids(tree.withColumn("__k", F.struct("source", "dist", "id")), "__k", "pos").drop("__k"))
+    first = t.groupBy("source").agg(F.min("pos").alias("__f"))
+    return t.join(first, "source").withColumn("pos", F.col("pos") - F.col("__f")).drop("__f")

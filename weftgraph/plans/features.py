@@ -12,7 +12,7 @@ from weftgraph.operators import hetero as H
 from weftgraph.operators import pool as P
 from weftgraph.plans import views as V
 from weftgraph.plans.registry import Registry
-from weftgraph.plans.sampling import Edges, follows, over_all
+from weftgraph.plans.sampling import every
 from weftgraph.plans.structure import _chain
 
 R = Registry()
@@ -192,14 +192,11 @@ def tfidf(spark: Spark, d: str) -> DataFrame:
 
 @R.query(
     "target_matrix",
-    V.ctes("t", more=("p AS (SELECT a.src, a.dst, sum(w / s) AS p FROM t a JOIN (SELECT src, sum(w) AS s FROM t WHERE edge_type = 'follows' GROUP BY src) q ON q.src = a.src WHERE edge_type = 'follows' GROUP BY ALL)",))
+    V.ctes("e", more=("p AS (SELECT a.src, a.dst, sum(w / s) AS p FROM e a JOIN (SELECT src, sum(w) AS s FROM e GROUP BY src) q ON q.src = a.src GROUP BY ALL)",))
     + f"SELECT src, dst, {V.r('sum(p) / 2')} AS value FROM (SELECT * FROM p UNION ALL SELECT a.src, b.dst, sum(a.p * b.p) FROM p a JOIN p b ON b.src = a.dst GROUP BY ALL) GROUP BY ALL",
 )
-def target_matrix(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
-    return X.target_matrix(edges(spark, d)).withColumn("value", V.real("value"))
-
-
-over_all(R, "target_matrix")
+def target_matrix(spark: Spark, d: str) -> DataFrame:
+    return X.target_matrix(every(spark, d)).withColumn("value", V.real("value"))
 
 
 @R.query("kmeans_codes")
@@ -386,12 +383,6 @@ def batch_separate(spark: Spark, d: str) -> DataFrame:
     return H.separate(m, e, ptr)[1]
 
 
-@R.query("gather_attributes", V.ctes("y", "n") + "SELECT id, y FROM y WHERE id IN (SELECT id FROM n WHERE id % 3 = 0)")
+@R.query("gather_attributes", V.ctes("y", "n") + "SELECT id, y FROM y WHERE id IN (SELECT id FROM n)")
 def gather_attributes(spark: Spark, d: str) -> DataFrame:
-    return H.gather(V.labels(spark, d), V.nodes(spark, d).filter("id % 3 = 0"))
-
-
-@R.query("gather_attributes_all", V.ctes("y", "n") + "SELECT id, y FROM y WHERE id IN (SELECT id FROM n)")
-def gather_attributes_all(spark: Spark, d: str) -> DataFrame:
-    """Of all nodes; the SQL of `gather_attributes` states every third."""
     return H.gather(V.labels(spark, d), V.nodes(spark, d))

@@ -13,7 +13,7 @@ from weftgraph.operators import norm as N
 from weftgraph.operators import spmm as S
 from weftgraph.plans import views as V
 from weftgraph.plans.registry import Registry
-from weftgraph.plans.sampling import _BFS, _tree, of_type
+from weftgraph.plans.sampling import _BFS, _tree, every
 from weftgraph.plans.structure import _chain, _step
 
 R = Registry()
@@ -543,7 +543,7 @@ def layer_centrality_encoding(x, e):
     return L.centrality_encoding(x, e, _ZI, _ZO)
 
 
-@R.query("layer_spatial_encoding", V.ctes("t", more=_BFS) + "SELECT source, id, [0.5, 0.4, 0.3][least(dist + 1, 3)] + 0.0::DOUBLE AS value FROM b")
+@R.query("layer_spatial_encoding", V.ctes("e", more=_BFS) + "SELECT source, id, [0.5, 0.4, 0.3][least(dist + 1, 3)] + 0.0::DOUBLE AS value FROM b")
 def layer_spatial_encoding(spark: Spark, d: str) -> DataFrame:
     return L.spatial_encoding(_tree(spark, d), [0.5, 0.4, 0.3])
 
@@ -553,7 +553,7 @@ def layer_edge_encoding(spark: Spark, d: str) -> DataFrame:
     from weftgraph.operators.edges import coalesce
     from weftgraph.operators.traverse import with_paths
 
-    e = coalesce(of_type(spark, d, "follows")).select("src", "dst", F.array(F.col("w"), F.lit(1.0)).alias("x"))
+    e = coalesce(every(spark, d)).select("src", "dst", F.array(F.col("w"), F.lit(1.0)).alias("x"))
     return L.edge_encoding(with_paths(_tree(spark, d), 3), e, [[0.5, 0.1], [0.3, 0.1], [0.1, 0.1]]).withColumn("value", V.real("value"))
 
 

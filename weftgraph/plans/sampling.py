@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +14,6 @@ from weftgraph.plans.registry import Registry
 
 R = Registry()
 Spark = SparkSession
-Edges = Callable[[SparkSession, str], DataFrame]
 
 
 def key(seed: int, *cols: str) -> str:
@@ -37,43 +33,22 @@ def anchors(spark: Spark, d: str) -> DataFrame:
     return read(spark, d, "anchor_nodes").filter("scope = 'graph' and node_id is not null").select(F.col("node_id").alias("id")).distinct()
 
 
-def of_type(spark: Spark, d: str, name: str) -> DataFrame:
-    return V.typed(spark, d).filter(F.col("edge_type") == name).select("src", "dst", "w")
-
-
-def similar(spark: Spark, d: str) -> DataFrame:
-    return of_type(spark, d, "similar")
-
-
-def follows(spark: Spark, d: str) -> DataFrame:
-    return of_type(spark, d, "follows")
-
-
 def every(spark: Spark, d: str) -> DataFrame:
     return V.edges(spark, d).select("src", "dst", "w")
 
 
-def over_all(reg: Registry, *names: str) -> None:
-    """Registers NAME_all for each query with an argument `edges`: the same over the edges of all types."""
-    for name in names:
-        sql = reg.sql[name].replace(V.CTE["t"], V.CTE["e"].replace("e AS", "t AS", 1))
-        for kind in ("similar", "follows"):
-            sql = sql.replace(f" WHERE edge_type = '{kind}' AND ", " WHERE ").replace(f" WHERE edge_type = '{kind}'", "")
-        reg.query(f"{name}_all", sql)(partial(reg.queries[name], edges=every))
-
-
-_SIM = "m AS (SELECT DISTINCT src, dst FROM t WHERE edge_type = 'similar')"
+_SIM = "m AS (SELECT DISTINCT src, dst FROM e)"
 
 
 for _rev in (False, True):
     _h, _t = ("src", "dst") if _rev else ("dst", "src")
 
-    def _khop(spark: Spark, d: str, rev: bool = _rev, edges: Edges = similar) -> DataFrame:
-        return T.k_hop_nodes(edges(spark, d), anchors(spark, d), 2, rev)
+    def _khop(spark: Spark, d: str, rev: bool = _rev) -> DataFrame:
+        return T.k_hop_nodes(every(spark, d), anchors(spark, d), 2, rev)
 
     R.query(
         "khop_nodes_out" if _rev else "khop_nodes",
-        V.ctes("t", more=(_SIM, _S, f"h AS (SELECT id, 0 AS hop FROM s UNION SELECT m.{_t}, h.hop + 1 FROM h JOIN m ON m.{_h} = h.id WHERE h.hop < 2)"))
+        V.ctes("e", more=(_SIM, _S, f"h AS (SELECT id, 0 AS hop FROM s UNION SELECT m.{_t}, h.hop + 1 FROM h JOIN m ON m.{_h} = h.id WHERE h.hop < 2)"))
         + "SELECT id, min(hop) AS hop FROM h GROUP BY id",
     )(_khop)
 
@@ -82,18 +57,18 @@ _KHOP = (_SIM, _S, "h AS (SELECT id, 0 AS hop FROM s UNION SELECT m.src, h.hop +
          "k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM (SELECT DISTINCT id FROM h))")
 
 
-@R.query("khop_subgraph", V.ctes("t", more=_KHOP) + "SELECT a.n AS src, b.n AS dst, w FROM t JOIN k a ON a.id = t.src JOIN k b ON b.id = t.dst WHERE edge_type = 'similar'")
-def khop_subgraph(spark: Spark, d: str, edges: Edges = similar) -> DataFrame:
-    return T.k_hop_subgraph(edges(spark, d), anchors(spark, d), 2)[1].select("src", "dst", "w")
+@R.query("khop_subgraph", V.ctes("e", more=_KHOP) + "SELECT a.n AS src, b.n AS dst, w FROM e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst")
+def khop_subgraph(spark: Spark, d: str) -> DataFrame:
+    return T.k_hop_subgraph(every(spark, d), anchors(spark, d), 2)[1].select("src", "dst", "w")
 
 
-@R.query("khop_edge_mask", V.ctes("t", more=_KHOP) + "SELECT src, dst, w, src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k) AS mask FROM t WHERE edge_type = 'similar'")
-def khop_edge_mask(spark: Spark, d: str, edges: Edges = similar) -> DataFrame:
-    return T.k_hop_subgraph(edges(spark, d), anchors(spark, d), 2)[2].select("src", "dst", "w", "mask")
+@R.query("khop_edge_mask", V.ctes("e", more=_KHOP) + "SELECT src, dst, w, src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k) AS mask FROM e")
+def khop_edge_mask(spark: Spark, d: str) -> DataFrame:
+    return T.k_hop_subgraph(every(spark, d), anchors(spark, d), 2)[2].select("src", "dst", "w", "mask")
 
 
 _BFS = (
-    "f AS (SELECT DISTINCT src, dst FROM t WHERE edge_type = 'follows')",
+    "f AS (SELECT DISTINCT src, dst FROM e)",
     _S,
     "h AS (SELECT id AS source, id, 0 AS dist FROM s UNION SELECT h.source, f.dst, h.dist + 1 FROM h JOIN f ON f.src = h.id WHERE h.dist < 3)",
     "b AS (SELECT source, id, min(dist) AS dist FROM h GROUP BY ALL)",
@@ -101,27 +76,27 @@ _BFS = (
 )
 
 
-def _tree(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
-    return T.shortest_paths(edges(spark, d), anchors(spark, d).withColumnRenamed("id", "source"), 3)
+def _tree(spark: Spark, d: str) -> DataFrame:
+    return T.shortest_paths(every(spark, d), anchors(spark, d).withColumnRenamed("id", "source"), 3)
 
 
-@R.query("shortest_path_distance", V.ctes("t", more=_BFS) + "SELECT source, id, dist, parent FROM p")
-def shortest_path_distance(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
-    return _tree(spark, d, edges)
+@R.query("shortest_path_distance", V.ctes("e", more=_BFS) + "SELECT source, id, dist, parent FROM p")
+def shortest_path_distance(spark: Spark, d: str) -> DataFrame:
+    return _tree(spark, d)
 
 
 @R.query(
     "shortest_path_nodes",
-    V.ctes("t", more=(*_BFS, "q AS (SELECT source, id, dist, CAST(id AS VARCHAR) AS path FROM p WHERE dist = 0 UNION ALL SELECT p.source, p.id, p.dist, q.path || ',' || p.id FROM q JOIN p ON p.source = q.source AND p.parent = q.id AND p.dist = q.dist + 1)"))
+    V.ctes("e", more=(*_BFS, "q AS (SELECT source, id, dist, CAST(id AS VARCHAR) AS path FROM p WHERE dist = 0 UNION ALL SELECT p.source, p.id, p.dist, q.path || ',' || p.id FROM q JOIN p ON p.source = q.source AND p.parent = q.id AND p.dist = q.dist + 1)"))
     + "SELECT source, id, path FROM q",
 )
-def shortest_path_nodes(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
-    return T.with_paths(_tree(spark, d, edges), 3).select("source", "id", F.array_join("path", ",").alias("path"))
+def shortest_path_nodes(spark: Spark, d: str) -> DataFrame:
+    return T.with_paths(_tree(spark, d), 3).select("source", "id", F.array_join("path", ",").alias("path"))
 
 
-@R.query("bfs_tree_order", V.ctes("t", more=_BFS) + "SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY dist, id) - 1 AS pos FROM b")
-def bfs_tree_order(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
-    return T.bfs_order(_tree(spark, d, edges)).select("source", "id", F.col("pos").cast("bigint").alias("pos"))
+@R.query("bfs_tree_order", V.ctes("e", more=_BFS) + "SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY dist, id) - 1 AS pos FROM b")
+def bfs_tree_order(spark: Spark, d: str) -> DataFrame:
+    return T.bfs_order(_tree(spark, d)).select("source", "id", F.col("pos").cast("bigint").alias("pos"))
 
 
 @R.query(
@@ -148,11 +123,11 @@ def pairs(spark: Spark, d: str) -> DataFrame:
 
 @R.query(
     "simple_paths",
-    V.ctes("t", more=(_SIM.replace('similar', 'follows'), _PAIRS, "w AS (SELECT src, dst, src AS here, [src] AS path FROM pr UNION ALL SELECT w.src, w.dst, m.dst, list_append(w.path, m.dst) FROM w JOIN m ON m.src = w.here WHERE w.here <> w.dst AND len(w.path) < 4 AND NOT list_contains(w.path, m.dst))"))
+    V.ctes("e", more=(_SIM, _PAIRS, "w AS (SELECT src, dst, src AS here, [src] AS path FROM pr UNION ALL SELECT w.src, w.dst, m.dst, list_append(w.path, m.dst) FROM w JOIN m ON m.src = w.here WHERE w.here <> w.dst AND len(w.path) < 4 AND NOT list_contains(w.path, m.dst))"))
     + "SELECT src, dst, array_to_string(path, ',') AS path FROM w WHERE here = dst",
 )
-def simple_paths(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
-    return T.simple_paths(edges(spark, d), pairs(spark, d), 4).select("src", "dst", F.array_join("path", ",").alias("path"))
+def simple_paths(spark: Spark, d: str) -> DataFrame:
+    return T.simple_paths(every(spark, d), pairs(spark, d), 4).select("src", "dst", F.array_join("path", ",").alias("path"))
 
 
 @R.query("enclosing_subgraph_labels")
@@ -161,25 +136,22 @@ def enclosing_subgraph_labels(spark: Spark, d: str) -> DataFrame:
     return T.enclosing_subgraphs(every(spark, d), p, 1)[0]
 
 
-_UND = "u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM t WHERE edge_type = 'follows' AND src <> dst)"
+_UND = "u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst)"
 
 
-@R.query("triangles", V.ctes("t", more=(_UND,)) + "SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b")
-def triangles(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
-    return T.triangles(edges(spark, d))
+@R.query("triangles", V.ctes("e", more=(_UND,)) + "SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b")
+def triangles(spark: Spark, d: str) -> DataFrame:
+    return T.triangles(every(spark, d))
 
 
 @R.query(
     "cycle_counts",
-    V.ctes("t", more=("u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM t WHERE edge_type = 'similar' AND src <> dst)", "d AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u)"))
+    V.ctes("e", more=("u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst)", "d AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u)"))
     + "SELECT (SELECT count(*) FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b) AS c3, "
     "(SELECT CAST(coalesce(sum(n * (n - 1) / 2), 0) / 2 AS BIGINT) FROM (SELECT x.b AS p, y.b AS q, count(*) AS n FROM d x JOIN d y ON y.a = x.a AND x.b < y.b GROUP BY ALL)) AS c4",
 )
-def cycle_counts(spark: Spark, d: str, edges: Edges = similar) -> DataFrame:
-    return T.cycle_counts(edges(spark, d))
-
-
-over_all(R, "khop_nodes", "khop_nodes_out", "khop_subgraph", "khop_edge_mask", "shortest_path_distance", "shortest_path_nodes", "bfs_tree_order", "simple_paths", "triangles", "cycle_counts")
+def cycle_counts(spark: Spark, d: str) -> DataFrame:
+    return T.cycle_counts(every(spark, d))
 
 
 @R.query("induced_subgraph", V.ctes("e", "y") + "SELECT * FROM e WHERE src IN (SELECT id FROM y) AND dst IN (SELECT id FROM y)")
@@ -267,7 +239,7 @@ _A = "ad AS (SELECT *, row_number() OVER (ORDER BY rel, src, dst) - 1 AS eid FRO
 
 @R.query("sample_neighbours_typed", V.ctes("a", more=(_A,)) + f"SELECT rel, src, dst, eid FROM (SELECT *, {_rank('dst, rel', 3, 'eid')} AS r FROM ad) WHERE r <= 4")
 def sample_neighbours_typed(spark: Spark, d: str) -> DataFrame:
-    e = V.alircd_edges(spark, d).select(F.col("edge_type").alias("rel"), "src", "dst").distinct()
+    e = V.alircd_every(spark, d).select(F.col("edge_type").alias("rel"), "src", "dst").distinct()
     e = P.with_edge_ids(e, ["rel", "src", "dst"])
     return P.sample_neighbours(e, e.select(F.col("dst").alias("id")).distinct(), 4, 3).select("rel", "src", "dst", "eid")
 
@@ -319,17 +291,14 @@ def walk_windows(spark: Spark, d: str) -> DataFrame:
 
 
 _N2V = (
-    "c AS (SELECT src, dst, sum(w) AS w FROM t WHERE edge_type = 'follows' GROUP BY src, dst)",
+    "c AS (SELECT src, dst, sum(w) AS w FROM e GROUP BY src, dst)",
     "tr AS (SELECT a.src AS prev, a.dst AS cur, b.dst AS nxt, b.w * CASE WHEN b.dst = a.src THEN 2.0 WHEN k.src IS NOT NULL THEN 1.0 ELSE 0.25 END AS m FROM c a JOIN c b ON b.src = a.dst LEFT JOIN c k ON k.src = a.src AND k.dst = b.dst)",
 )
 
 
-@R.query("node2vec_probabilities", V.ctes("t", more=_N2V) + f"SELECT prev, cur, nxt, {V.r('m / sum(m) OVER (PARTITION BY prev, cur)')} AS prob FROM tr")
-def node2vec_probabilities(spark: Spark, d: str, edges: Edges = follows) -> DataFrame:
-    return P.node2vec_probabilities(edges(spark, d), 0.5, 4.0).withColumn("prob", V.real("prob"))
-
-
-over_all(R, "node2vec_probabilities")
+@R.query("node2vec_probabilities", V.ctes("e", more=_N2V) + f"SELECT prev, cur, nxt, {V.r('m / sum(m) OVER (PARTITION BY prev, cur)')} AS prob FROM tr")
+def node2vec_probabilities(spark: Spark, d: str) -> DataFrame:
+    return P.node2vec_probabilities(every(spark, d), 0.5, 4.0).withColumn("prob", V.real("prob"))
 
 
 @R.query("node2vec_walks")
@@ -351,14 +320,14 @@ _MP = (
 
 @R.query("metapath_walks", V.ctes("a", more=_MP) + _steps(3))
 def metapath_walks(spark: Spark, d: str) -> DataFrame:
-    e = V.alircd_edges(spark, d)
+    e = V.alircd_every(spark, d)
     starts = e.filter("src_type = 'f'").select(F.col("src").alias("walk_id"), F.col("src").alias("id")).distinct()
     return P.metapath_walks(e.select("src", "dst", F.col("edge_type").alias("rel")), starts, ["B", "B_1"], 3, 41)
 
 
 _NEG = (
     "m AS (SELECT max(greatest(src, dst)) + 1 AS n FROM e)",
-    f"c AS (SELECT j, CAST(floor({uni(51, chr(39) + 's' + chr(39), 'j')} * n) AS BIGINT) AS src, CAST(floor({uni(51, chr(39) + 'd' + chr(39), 'j')} * n) AS BIGINT) AS dst FROM m, (SELECT unnest(range(6000)) AS j))",
+    f"c AS (SELECT j, CAST(floor({uni(51, "'s'", "j")} * n) AS BIGINT) AS src, CAST(floor({uni(51, "'d'", "j")} * n) AS BIGINT) AS dst FROM m, (SELECT unnest(range(6000)) AS j))",
 )
 
 
@@ -377,7 +346,7 @@ def drop_edges(spark: Spark, d: str) -> DataFrame:
     return P.keep_edges(V.edges(spark, d), 0.3, 61, ["src", "dst"])
 
 
-@R.query("drop_features", V.ctes("xl") + f"SELECT id, k, {V.r(f'CASE WHEN {uni(62, chr(40) + chr(107) + chr(32) + chr(45) + chr(32) + chr(49) + chr(41))} >= 0.5 THEN v ELSE 0 END')} AS value FROM xl")
+@R.query("drop_features", V.ctes("xl") + f"SELECT id, k, {V.r(f'CASE WHEN {uni(62, "(k - 1)")} >= 0.5 THEN v ELSE 0 END')} AS value FROM xl")
 def drop_features(spark: Spark, d: str) -> DataFrame:
     return V.long(P.drop_features(V.features(spark, d), V.WIDTH, 0.5, 62))
 

@@ -11,9 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.core.graph import Graph, HeteroGraph
+from weftgraph.core.session import collect_bounded
 from weftgraph.operators.edges import coalesce, remove_self_loops, to_undirected
 from weftgraph.operators.segment import with_dense_ids
 
+MAX_KINDS = 10_000  # labels, types or relations of a data set; more raise an error
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; any other trouble is an error."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value), line_no 0-based over a file (or its parts in name order).
@@ -48,7 +58,7 @@ def embeddings_text(spark: SparkSession, path: str) -> DataFrame:
 
 def one_hot(values: DataFrame, key: str, label: str, out: str) -> DataFrame:
     """Labels (few) as indicator arrays in the order of their values."""
-    kinds = [r[0] for r in values.select(label).filter(F.col(label).isNotNull()).distinct().orderBy(label).limit(10_000).collect()]
+    kinds = sorted(r[0] for r in collect_bounded(values.select(label).filter(F.col(label).isNotNull()).distinct(), MAX_KINDS, "labels"))
     return values.withColumn(out, F.array(*[(F.col(label) == k).cast("double") for k in kinds]))
 
 
@@ -60,10 +70,9 @@ def tu_family(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, D
     at = lambda part: f"{folder}/{name}_{part}.txt"
     nodes = text_array(spark, at("graph_indicator"), kind="bigint").select(F.col("line_no").alias("id"), (F.get("x", F.lit(0)) - 1).alias("graph_id"))
     for part, column in (("node_labels", "label"), ("node_attributes", "x")):
-        try:
-            t = text_array(spark, at(part))
-        except Exception:  # the file is optional
+        if not exists(spark, at(part)):
             continue
+        t = text_array(spark, at(part))
         value: Column = F.get("x", F.lit(0)).cast("bigint") if column == "label" else F.col("x")
         nodes = nodes.join(t.select(F.col("line_no").alias("id"), value.alias(column)), "id", "left")
     e = edge_list(spark, at("A")).select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst")).filter("src <> dst").distinct()
@@ -84,8 +93,8 @@ def hgb(spark: SparkSession, folder: str) -> HeteroGraph:
         F.get(p, F.lit(0)).try_cast("bigint").alias("src"), F.get(p, F.lit(1)).try_cast("bigint").alias("dst"), F.get(p, F.lit(2)).alias("r"), F.get(p, F.lit(3)).try_cast("double").alias("w")
     )
     typed = links.join(nodes.select(F.col("id").alias("src"), F.col("t").alias("st")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("t").alias("dt")), "dst")
-    types = [r[0] for r in nodes.select("t").distinct().limit(10_000).collect()]
-    rels = [tuple(r) for r in typed.select("st", "r", "dt").distinct().limit(10_000).collect()]
+    types = [r[0] for r in collect_bounded(nodes.select("t").distinct(), MAX_KINDS, "node types")]
+    rels = [tuple(r) for r in collect_bounded(typed.select("st", "r", "dt").distinct(), MAX_KINDS, "relations")]
     edges = {(s, r, d): typed.filter((F.col("st") == s) & (F.col("r") == r) & (F.col("dt") == d)).select("src", "dst", "w") for s, r, d in rels}
     return HeteroGraph({t: nodes.filter(F.col("t") == t).select("id", "x") for t in types}, edges)
 
