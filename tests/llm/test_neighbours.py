@@ -52,9 +52,9 @@ def test_close_pairs(table, chunk):
     assert got[55] == [50, 51, 52] and got[50] == [51, 52, 53]
 
 
-def test_scan_recall(table):
+def test_recall_of_any_neighbours(table):
     v = data(2)
-    got = near(frame(table, v), k=10, queries=F.col("id") % 20 == 0, scan=True, chunk=64)
+    got = near(frame(table, v), k=10, queries=F.col("id") % 20 == 0, chunk=64)
     want = brute(v, 10, -1)
     assert sorted(got) == [i for i in range(400) if i % 20 == 0]
     hit = sum(len(set(got[i]) & set(want[i])) for i in got) / (10 * len(got))

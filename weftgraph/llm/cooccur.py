@@ -31,33 +31,43 @@ from pyspark.sql import functions as F
 from weftgraph.core.session import cut
 
 
-def _products(min_count: int, min_lift: float):
-    """For applyInPandas: one pair of chunks -> pairs that pass on large baskets alone."""
+def _products(min_count: int, min_lift: float, wide: int = 2048):
+    """For applyInPandas: one pair of chunks -> pairs that pass on large baskets alone.
+
+    The product is summed over blocks of `wide` baskets, so memory is bounded by the chunks and the
+    rows of their items, not by the number of baskets.  Counts are kept in double precision.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = float(pdf["n"].iloc[0])
         same = bool(pdf["ci"].iloc[0] == pdf["cj"].iloc[0])
-        baskets, b = np.unique(pdf["basket"].to_numpy(), return_inverse=True)
+        _, basket = np.unique(pdf["basket"].to_numpy(), return_inverse=True)
         sides = []
         for side in (0, 1):
-            rows = pdf["side"].to_numpy() == side
+            rows = np.flatnonzero(pdf["side"].to_numpy() == side)
+            rows = rows[np.argsort(basket[rows], kind="stable")]
             items, i = np.unique(pdf["item"].to_numpy()[rows], return_inverse=True)
-            m = np.zeros((len(items), len(baskets)), dtype=np.float32)
-            m[i, b[rows]] = 1.0
             support = np.zeros(len(items))
             support[i] = pdf["n_item"].to_numpy()[rows]
-            sides.append((items, m, support))
+            sides.append((items, i, basket[rows], support))
         if same:
             sides[1] = sides[0]
-        (ia, ma, na), (ib, mb, nb) = sides
+        (ia, xa, ba, na), (ib, xb, bb, nb) = sides
         out = []
         step = max(1, 4_000_000 // max(1, len(ib)))
         for at in range(0, len(ia), step):
-            part = slice(at, at + step)
-            shared = ma[part] @ mb.T
-            hit = (shared >= min_count) & (shared.astype(np.float64) * n >= min_lift * na[part, None] * nb[None, :])
+            high = min(at + step, len(ia))
+            shared = np.zeros((high - at, len(ib)))
+            for low in range(0, int(basket.max()) + 1, wide):
+                a, b = (slice(*np.searchsorted(x, [low, low + wide])) for x in (ba, bb))
+                own = (xa[a] >= at) & (xa[a] < high)
+                left, right = np.zeros((high - at, wide), np.float32), np.zeros((len(ib), wide), np.float32)
+                left[xa[a][own] - at, ba[a][own] - low] = 1
+                right[xb[b], bb[b] - low] = 1
+                shared += left @ right.T
+            hit = (shared >= min_count) & (shared * n >= min_lift * na[at:high, None] * nb[None, :])
             x, y = np.nonzero(hit)
-            a, c, k = ia[part][x], ib[y], shared[x, y]
+            a, c, k = ia[at + x], ib[y], shared[x, y]
             keep = a < c if same else a != c
             out.append(pd.DataFrame({"item_a": np.minimum(a, c)[keep], "item_b": np.maximum(a, c)[keep], "n_ab": k[keep].astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"item_a": [], "item_b": [], "n_ab": []}).astype("int64")
@@ -71,8 +81,9 @@ def cooccurrence(
     item_col: str,
     min_count: int = 5,
     min_lift: float = 3.0,
-    block: int = 256,
+    block: int = 64,
     chunk: int = 4096,
+    chunk_rows: int = 1_000_000,
 ) -> DataFrame:
     """(item_a, item_b, n_ab, n_a, n_b, n, lift, pmi) with item_a < item_b.
 
@@ -82,8 +93,9 @@ def cooccurrence(
     n_ab >= min_count and lift >= min_lift come out, all of them.  Empty input: no rows.
     Other columns, whatever their names, are ignored.
 
-    `block`: items above which a basket goes to chunk-pair products; `chunk`: items in
-    a chunk (a product holds chunk x chunk floats at most in slices of 16 MB).
+    `block`: items above which a basket goes to chunk-pair products (below, its at most 2,016 pairs
+    are formed in place); `chunk`, `chunk_rows`: items in a chunk, and rows of large baskets with
+    them, on average (a product is summed in slices of 32 MB).
     """
     if min_count < 1:
         raise ValueError("min_count must be at least 1")
@@ -114,11 +126,15 @@ def cooccurrence(
     n_large = large.select("basket").distinct().count()
     if n_large:
         pairs = cut(pairs.filter(F.col("n_ab") + n_large >= min_count))
-        # Candidates: add the large baskets that hold both.
-        of_a = large.select(F.col("item").alias("item_a"), "basket")
-        of_b = large.select(F.col("item").alias("item_b"), "basket")
+        # Candidates: add the large baskets that hold both, looked up from the item in fewer of them.
+        held = large.groupBy("item").agg(F.count(F.lit(1)).alias("k"))
+        of = lambda s: held.select(F.col("item").alias(f"item_{s}"), F.col("k").alias(f"k_{s}"))
+        rarer = F.col("k_a") <= F.col("k_b")
+        asked = pairs.select("item_a", "item_b").join(of("a"), "item_a").join(of("b"), "item_b").select(
+            "item_a", "item_b", F.when(rarer, F.col("item_a")).otherwise(F.col("item_b")).alias("item"), F.when(rarer, F.col("item_b")).otherwise(F.col("item_a")).alias("other")
+        )
         extra = (
-            pairs.select("item_a", "item_b").join(of_a, "item_a").join(of_b, ["item_b", "basket"])
+            asked.join(large.select("item", "basket"), "item").join(large.select(F.col("item").alias("other"), "basket"), ["other", "basket"])
             .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("more"))
         )
         pairs = pairs.join(extra, ["item_a", "item_b"], "left").select(
@@ -127,8 +143,8 @@ def cooccurrence(
         if n_large >= min_count:
             often = large.groupBy("item").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_count).select("item")
             often = cut(large.join(often, "item").select("basket", "item", "n_item"))
-            n_items = often.select("item").distinct().count()
-            n_chunks = max(1, -(-n_items // chunk))
+            n_items, n_rows = often.agg(F.count_distinct("item"), F.count(F.lit(1))).first()
+            n_chunks = max(1, -(-n_items // chunk), -(-n_rows // chunk_rows))
             numbered = often.withColumn("c", F.pmod(F.xxhash64("item"), F.lit(n_chunks)).cast("int"))
             every = F.sequence(F.lit(0), F.lit(n_chunks - 1))
             left = numbered.select("*", F.explode(every).alias("o")).filter("c <= o").select(

@@ -12,8 +12,7 @@ vertex of degree one and an independent set of the vertices of degree two:
 What is left when that stalls - the core, of minimum degree three - is solved by
 contraction: every vertex follows its lowest-hash neighbour, the pointers are
 doubled until they rest on a root, the edges are rewritten to roots.  Then the
-next rounds go on with the contracted graph.  Once at most `core_edges` edges are
-left, one task solves them by union-find: rounds cost jobs, however little is left.
+next rounds go on with the contracted graph until no edge is left.
 
 Every removed vertex leaves one row (v, parent) in a forest whose depth is at
 most the number of rounds.  Pointer doubling over that forest restores labels.
@@ -27,7 +26,6 @@ which the adaptive skew join splits.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,38 +113,13 @@ def _contract(edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return hung, cut(rest)
 
 
-def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, b) -> (v, parent) for every vertex that is not its component's smallest."""
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        up.setdefault(x, x)
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
-        a, b = find(a), find(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    hung = [(v, find(v)) for v in up]
-    return pd.DataFrame([p for p in hung if p[0] != p[1]], columns=["v", "parent"], dtype="int64")
-
-
-def _solve_core(edges: DataFrame) -> DataFrame:
-    """(v, parent) of a core of checked size, in one task."""
-    return cut(edges.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_union_find, "v bigint, parent bigint"))
-
-
 def group_matches(
     nodes: DataFrame,
     pairs: DataFrame,
     id_col: str = "id",
     src_col: str = "src",
     dst_col: str = "dst",
-    stall: float = 0.05,
-    core_edges: int = 20_000,
+    stall: float = 0.35,
     max_rounds: int = 200,
 ) -> DataFrame:
     """(id, group_id): one row for each distinct non-null id of `nodes`.
@@ -158,7 +131,7 @@ def group_matches(
     node is its own group.  Empty `nodes`: no rows.  Other columns are ignored.
 
     `stall`: share of the edges that a round must remove to go on before the core is
-    contracted; `core_edges`: edges that one task may solve (checked by count).
+    contracted.
     """
     src, dst = F.col(src_col).cast("bigint"), F.col(dst_col).cast("bigint")
     edges = cut(pairs.filter(src.isNotNull() & dst.isNotNull() & (src != dst)).select(*_pair(src, dst)).distinct())
@@ -169,10 +142,7 @@ def group_matches(
         removed, rest = _rake_and_compress(edges, turn)
         layers.append(removed.select("v", "parent"))
         before, left, edges = left, rest.count(), rest
-        if 0 < left <= core_edges:
-            layers.append(_solve_core(edges))
-            left = 0
-        elif left and before - left < stall * before:
+        if left and before - left < stall * before:
             hung, edges = _contract(edges, turn + 7919)
             layers.append(hung)
             left = edges.count()

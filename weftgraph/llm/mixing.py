@@ -81,7 +81,7 @@ def land(p: list[float], t: list[float]) -> list[float]:
 
 def _fly(seed: int, landing: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
+        pdf = pdf.sort_values("doc_id", kind="stable")
         rng = np.random.default_rng([seed, zlib.crc32("\0".join(map(str, key)).encode())])
         order = rng.permutation(len(pdf))
         pdf = pdf.iloc[order]
@@ -124,13 +124,15 @@ def mix_sources(
     selection: (mix_name, source, doc_id, n_tokens, copies), copies >= 1 and at most max_repeats.
     report: a row for each row of targets with (met, target_share, actual_share, target_tokens,
     actual_tokens, n_docs); actual_share is of all tokens selected for the mix (null if none).
-    Documents without tokens or source are never selected; a repeated doc_id counts once.
+    Documents without tokens or source are never selected; a repeated doc_id counts once
+    (its smallest source and size); one that is null is left out.
     A source without documents cannot be met unless its target is 0.  Empty targets or
     documents give empty results or targets that are not met.
 
     `block`: documents that one task balances at once.
     """
-    docs = docs.select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens")).filter("source is not null and n_tokens > 0")
+    own = docs.select("doc_id", F.struct("source", F.col("n_tokens").cast("bigint").alias("n_tokens")).alias("one"))
+    docs = own.filter("doc_id is not null and one.source is not null and one.n_tokens > 0").groupBy("doc_id").agg(F.min("one").alias("one")).select("doc_id", "one.*")
     sizes = docs.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("n_docs"))
     planned = plan_mix(sizes, targets)
     rows = collect_bounded(planned, max_targets, "mix_targets")

@@ -6,17 +6,24 @@ fitted on a bounded sample (k-means on residuals, beam-search encoding, one leas
 update of all codewords together); *every* vector is encoded by beam search and stored
 with the norm of its reconstruction.
 
-Search, in both cases with the best of all blocks reranked by the exact double cosine:
-
-* `probes` cells (default): each query visits the cells of its nearest coarse codewords -
-  for close neighbours, with work growing as n^1.5.  All vectors of a visited cell are scored
-  themselves, as codes do not rank different near copies.  An item within `reach` of its
-  codeword is in its cell's core; a query also visits every cell whose core can hold
-  a neighbour within `reach` (triangle inequality), so that inside a dense group none is
-  missed: there the work is quadratic.  Cells of one dense group are merged up to a chunk.
-* scan: a stated query set against all codes, block by block - for any neighbours.  A query's
-  products with all codewords make a look-up table; a stored vector's score is the sum of its
-  codewords' entries over its norm; the best of a block are reranked by their vectors.
+Search.  A query visits the cells of its nearest coarse codewords.  A query's products with
+all codewords make a look-up table; a stored vector's score is the sum of its codewords'
+entries.  What can be among the best is scored again by the vectors themselves:
+
+* with a bound `min_cos` of 0.9 or more, all items whose score plus the stored length of what
+  their codes leave out reaches it: within the visited cells nothing is lost;
+* otherwise the best of each cell by score over norm; where even the last of these is a near
+  copy, codes cannot rank them and all items of the cell are scored.
+
+How many cells are visited is measured on the sample: as many as hold `recall` of the true
+neighbours of its queries, 16 at least.  Work grows as n^1.5 for close neighbours; neighbours
+far apart in many dimensions take more cells, up to all.  An item within `reach` of its codeword
+is in its cell's core; a query also visits every cell whose core can hold a neighbour within
+`reach` (triangle inequality), so that inside a dense group none is missed: there the work is
+quadratic.  `probes` of all cells is the exact way for everything else.
+
+Adjacent cells share a block of about `chunk` items, and a query goes to a block once, with the
+cells it visits there, so its vector is shipped a few times only.
 
 Equal vectors are one class with its smallest ids, so a vector that a third of all rows
 share is searched once.  Large cells are cut into chunks of items and of queries: every
@@ -31,10 +38,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.core.session import collect_bounded, cut
+from weftgraph.core.session import collect_bounded, spread, store
 
 CODE = 256  # codewords of a fine level
 
@@ -121,130 +129,181 @@ def usable(vec: Column, n_dims: int) -> Column:
     return F.coalesce((F.size(vec) == n_dims) & good & F.exists(vec, lambda v: v != 0), F.lit(False))
 
 
-def _pack(books: Codebooks, beam: int, encode: bool):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            if not len(pdf):
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision; scaled first, so that very large components do not overflow."""
+    x = vectors / np.abs(vectors).max(1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
+
+
+def _matrix(col: pa.Array, dtype, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(len(col), width)
+
+
+def _pack(books_cast, beam: int):
+    """(rep, vec) -> (rep, u, cell, codes, norm, rest, off): rest is the length of what the codes leave out, off that from the cell's codeword."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = books_cast.value
+        for batch in parts:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf["vec"].to_list())
-            # Scaled first, so that very large components do not overflow their squares.
-            x = x / np.abs(x).max(1, keepdims=True)
-            u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+            u = _units(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
             cell = books.near_cells(u, 1)[:, 0]
-            out = pd.DataFrame({"rep": pdf["rep"], "u": [r.tobytes() for r in u], "cell": cell.astype(np.int32)})
-            codes, norm = np.zeros((len(u), len(books.fine)), np.uint8), np.zeros(len(u), np.float32)
-            if encode:
-                for a in range(0, len(u), 1024):
-                    part = slice(a, a + 1024)
-                    _, codes[part], r = books.encode(u[part], beam, cell[part])
-                    norm[part] = np.linalg.norm(r, axis=1)
-            out["codes"], out["norm"] = [r.tobytes() for r in codes], norm
-            out["off"] = np.linalg.norm(u - books.coarse[cell], axis=1)
-            yield out
+            codes, made = np.zeros((len(u), len(books.fine)), np.uint8), np.empty_like(u)
+            for a in range(0, len(u), 1024):
+                part = slice(a, a + 1024)
+                _, codes[part], made[part] = books.encode(u[part], beam, cell[part])
+            length = lambda x: pa.array(np.linalg.norm(x, axis=1).astype(np.float32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _binary(u), pa.array(cell.astype(np.int32)), _binary(codes), length(made), length(u - made), length(u - books.coarse[cell])],
+                ["rep", "u", "cell", "codes", "norm", "rest", "off"],
+            )
 
     return run
 
 
-def _merge(coarse: np.ndarray, items: np.ndarray, dense: np.ndarray, reach: float, chunk: int) -> np.ndarray:
-    """The block of each cell: dense cells within `reach` of one another share one, up to `chunk` items."""
-    block = np.arange(len(coarse))
-    free = dense.copy()
+def _blocks(coarse: np.ndarray, items: np.ndarray, chunk: int) -> np.ndarray:
+    """The block of each cell: the fullest free cell and its nearest free ones, up to `chunk` items (or one cell)."""
+    block, free = np.zeros(len(coarse), np.int32), np.ones(len(coarse), bool)
     for seed in np.argsort(-items, kind="stable"):
         if not free[seed]:
             continue
-        far = np.linalg.norm(coarse - coarse[seed], axis=1)
-        near = np.flatnonzero(free & (far <= reach))
-        near = near[np.argsort(far[near], kind="stable")]
+        near = np.flatnonzero(free)
+        near = near[np.argsort(((coarse[near] - coarse[seed]) ** 2).sum(1), kind="stable")]
         taken = near[np.cumsum(items[near]) <= max(chunk, items[seed])]
         free[seed] = free[taken] = False
-        block[taken] = seed
+        block[taken] = block[seed] = seed
     return block
 
 
-def _visits(books: Codebooks, probes: int, block: np.ndarray, core: np.ndarray, reach: float):
-    """The blocks of each query.  core: a cell's largest distance of a core item, negative without any."""
+def _visits(books_cast, probes: int, block: np.ndarray, core: np.ndarray, reach: float):
+    """(rep, u) -> (rep, u, blk, cells): a row for each block with cells to visit.
+
+    core: a cell's largest distance of a core item, negative without any.
+    """
     cored = np.flatnonzero(core >= 0)
-    square = (books.coarse[cored] ** 2).sum(1)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for a in range(0, len(pdf), 4096):
-                own = pdf.iloc[a : a + 4096]
-                u = np.frombuffer(b"".join(own["u"]), np.float32).reshape(len(own), -1)
-                cells = books.near_cells(u, probes)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = books_cast.value
+        cells, dims = books.coarse.shape
+        square = (books.coarse[cored] ** 2).sum(1)
+        for batch in parts:
+            for a in range(0, batch.num_rows, 4096):
+                own = batch.slice(a, 4096)
+                u = _matrix(own.column(1), np.float32, dims)
+                near = books.near_cells(u, probes)
                 row, col = np.nonzero(1 + square - 2 * (u @ books.coarse[cored].T) <= (core[cored] + reach + 1e-3) ** 2)
-                more = np.split(cored[col], np.searchsorted(row, np.arange(1, len(own))))
-                yield pd.DataFrame({"rep": own["rep"], "u": own["u"], "blks": [np.unique(block[np.concatenate(c)]).astype(np.int32) for c in zip(cells, more)]})
+                both = np.unique(np.concatenate([(np.arange(len(u))[:, None] * cells + near).ravel(), row * cells + cored[col]]))
+                row, cell = both // cells, both % cells
+                order = np.lexsort((cell, block[cell], row))
+                row, cell = row[order], cell[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[cell[1:]] != block[cell[:-1]])])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(cell.astype(np.int32)))
+                at = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([own.column(0).take(at), own.column(1).take(at), pa.array(block[cell[first]]), lists], ["rep", "u", "blk", "cells"])
 
     return run
 
 
-def _exact(dims: int, k: int, min_cos: float):
-    """One block: items and queries -> the k best items of each query, all items scored by their vectors."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_q = pdf["is_q"].to_numpy()
-        items, qs = pdf[~is_q], pdf[is_q]
-        none = pd.DataFrame({"q": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "cos": np.zeros(0, np.float32)})
-        if not len(items) or not len(qs):
-            return none
-        x, q = (np.frombuffer(b"".join(f["u"]), np.float32).reshape(len(f), dims) for f in (items, qs))
-        own, ids = items["rep"].to_numpy(), qs["rep"].to_numpy()
-        itself = pd.Index(own).get_indexer(ids)
-        best = min(k, len(items))
-        out, step = [], max(1, 4_000_000 // len(items))
-        for a in range(0, len(q), step):
-            score = q[a : a + step] @ x.T
-            at = itself[a : a + step]
-            score[np.flatnonzero(at >= 0), at[at >= 0]] = -2
-            hit = np.flatnonzero(score.max(1) >= min_cos - 1e-4)
-            score = score[hit]
-            pos = np.argpartition(-score, best - 1, axis=1)[:, :best]
-            cos = np.take_along_axis(score, pos, 1)
-            row, col = np.nonzero((cos > -2) & (cos >= min_cos - 1e-4))
-            out.append(pd.DataFrame({"q": ids[a + hit[row]], "item": own[pos[row, col]], "cos": cos[row, col]}))
-        return pd.concat(out) if out else none
-
-    return run
+def _best(row: np.ndarray, col: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k largest values of each row, rows in order."""
+    order = np.lexsort((col, -value, row))
+    sorted_row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(sorted_row, sorted_row) < k]
 
 
-def _score(books: Codebooks, k: int, shortlist: int, min_cos: float):
-    """One block: items and queries -> the k best items of each query in the block."""
-    dims, levels = books.coarse.shape[1], len(books.fine)
+def _score(books_cast, spare: int, min_cos: float, near_copy: float = 0.9):
+    """For applyInPandas: the items and queries of a block -> the `spare` best items of each query in it."""
+    close = min_cos >= near_copy
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        books = books_cast.value
+        dims, levels = books.coarse.shape[1], len(books.fine)
         is_q = pdf["is_q"].to_numpy()
-        items, qs = pdf[~is_q], pdf[is_q]
+        items, qs = pdf[~is_q].sort_values("cell", kind="stable"), pdf[is_q]
         none = pd.DataFrame({"q": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "cos": np.zeros(0, np.float32)})
         if not len(items) or not len(qs):
             return none
-        unit = lambda f: np.frombuffer(b"".join(f["u"]), np.float32).reshape(len(f), dims)
-        x, q = unit(items), unit(qs)
+        x, u = (np.frombuffer(b"".join(f["u"]), np.float32).reshape(len(f), dims) for f in (items, qs))
         codes = np.frombuffer(b"".join(items["codes"]), np.uint8).reshape(len(items), levels)
-        cell, norm = items["cell"].to_numpy().astype(np.int64), np.maximum(items["norm"].to_numpy(), np.float32(1e-6))
+        norm, rest = np.maximum(items["norm"].to_numpy(), np.float32(1e-6)), items["rest"].to_numpy()
         own, ids = items["rep"].to_numpy(), qs["rep"].to_numpy()
-        cells, of_cell = np.unique(cell, return_inverse=True)
-        short = min(shortlist, len(items))
-        out, step = [], max(1, 4_000_000 // len(items))
-        for a in range(0, len(q), step):
-            part = q[a : a + step]
-            score = np.take(part @ books.coarse[cells].T, of_cell, axis=1)
-            for level in range(levels):
-                score += np.take(part @ books.fine[level].T, codes[:, level], axis=1)
-            score /= norm
-            top = np.argpartition(-score, short - 1, axis=1)[:, :short] if short < len(items) else np.tile(np.arange(len(items)), (len(part), 1))
-            exact = np.einsum("qd,qsd->qs", part, x[top])
-            exact[own[top] == ids[a : a + step, None]] = -2
-            best = min(k, short)
-            pos = np.argpartition(-exact, best - 1, axis=1)[:, :best] if best < short else np.tile(np.arange(short), (len(part), 1))
-            cos = np.take_along_axis(exact, pos, 1)
-            row, col = np.nonzero((cos > -2) & (cos >= min_cos - 1e-4))
-            out.append(pd.DataFrame({"q": ids[a + row], "item": own[np.take_along_axis(top, pos, 1)[row, col]], "cos": cos[row, col]}))
+        cells, start = np.unique(items["cell"].to_numpy().astype(np.int64), return_index=True)
+        stop = np.r_[start[1:], len(items)]
+        size = qs["cells"].map(len).to_numpy()
+        visit_q, visit_c = np.repeat(np.arange(len(qs)), size), np.concatenate(qs["cells"].to_list())
+        out = []
+        for a in range(0, len(qs), 2048):
+            part = u[a : a + 2048]
+            here = slice(*np.searchsorted(visit_q, [a, a + 2048]))
+            vq, vc = visit_q[here] - a, visit_c[here]
+            coarse, fine = part @ books.coarse[cells].T, [part @ book.T for book in books.fine]
+            order = np.argsort(vc, kind="stable")
+            vq, vc = vq[order], vc[order]
+            found = []
+            for n, (lo, hi) in enumerate(zip(np.searchsorted(vc, cells), np.searchsorted(vc, cells, "right"))):
+                step = max(1, 4_000_000 // (stop[n] - start[n]))
+                for b in range(lo, hi, step):
+                    row, at = vq[b : min(hi, b + step)], slice(start[n], stop[n])
+                    score = np.repeat(coarse[row, n][:, None], stop[n] - start[n], 1)
+                    for level in range(levels):
+                        score += np.take(fine[level][row], codes[at, level], axis=1)
+                    if close:
+                        r, c = np.nonzero(score + rest[at] >= min_cos - 1e-3)
+                        if len(r) > 0.05 * score.size:  # a dense group
+                            score = part[row] @ x[at].T
+                            r, c = np.nonzero(score >= min_cos - 1e-4)
+                            value = score[r, c]
+                        else:
+                            value = np.concatenate([np.einsum("nd,nd->n", part[row[r[i : i + 100_000]]], x[at][c[i : i + 100_000]]) for i in range(0, len(r), 100_000)] or [np.zeros(0, np.float32)])
+                    else:
+                        short = min(max(2 * spare, 32), stop[n] - start[n])
+                        c = np.argpartition(-score / norm[at], short - 1, axis=1)[:, :short]
+                        value = np.einsum("qd,qsd->qs", part[row], x[at][c])
+                        full = np.flatnonzero(value.min(1) >= near_copy) if short < stop[n] - start[n] else []
+                        r = np.repeat(np.arange(len(row)), short)
+                        c, value = c.ravel(), value.ravel()
+                        if len(full):
+                            again = part[row[full]] @ x[at].T
+                            keep = ~np.isin(r, full)
+                            r, c = np.r_[r[keep], np.repeat(full, again.shape[1])], np.r_[c[keep], np.tile(np.arange(again.shape[1]), len(full))]
+                            value = np.r_[value[keep], again.ravel()]
+                    q, i = row[r], start[n] + c
+                    keep = (value >= min_cos - 1e-4) & (ids[a + q] != own[i])
+                    q, i, value = q[keep], i[keep], value[keep]
+                    top = _best(q, i, value, spare)
+                    found.append((q[top], i[top], value[top]))
+            if found:
+                q, i, value = (np.concatenate(f) for f in zip(*found))
+                top = _best(q, i, value, spare)
+                out.append(pd.DataFrame({"q": ids[a + q[top]], "item": own[i[top]], "cos": value[top].astype(np.float32)}))
         return pd.concat(out) if out else none
 
     return run
 
 
+def calibrate(books: Codebooks, sample: np.ndarray, k: int, min_cos: float, recall: float, least: int = 16, n_queries: int = 1_000) -> int:
+    """Cells to visit so that `recall` of the sample's true neighbours are met (k best with cosine >= min_cos)."""
+    q = sample[:n_queries]
+    cos = q @ sample.T
+    cos[np.arange(len(q)), np.arange(len(q))] = -2
+    cos[cos > 1 - 1e-6] = -2  # copies are always in the query's own cell
+    k = min(k, len(sample))
+    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    row, col = np.nonzero(np.take_along_axis(cos, near, 1) >= max(min_cos, -1.0))
+    if not len(row):
+        return min(least, len(books.coarse))
+    cell = books.near_cells(sample, 1)[:, 0]
+    rank = np.argsort(books.near_cells(q, len(books.coarse)), axis=1)  # the place of each cell
+    place = np.sort(rank[row, cell[near[row, col]]])
+    return int(min(len(books.coarse), max(least, place[math.ceil(recall * len(place)) - 1] + 1)))
+
+
 def _cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -257,15 +316,14 @@ def nearest(
     k: int = 3,
     min_cos: float = -1.0,
     queries: Column | None = None,
-    scan: bool = False,
     n_dims: int = 64,
-    probes: int = 16,
+    probes: int | None = None,
+    recall: float = 0.97,
     levels: int | None = None,
     beam: int = 4,
     sample_rows: int = 20_000,
-    max_cells: int = 4_096,
-    chunk: int = 8_192,
-    salts: int = 64,
+    max_cells: int = 16_384,
+    chunk: int = 16_384,
 ) -> DataFrame:
     """(id, other, cos): for each usable vector its k most similar others with cos >= min_cos.
 
@@ -275,89 +333,69 @@ def nearest(
     stands for it.  Null ids are left out.  `queries`: a condition on column `id`; the result has
     rows for those ids only, always against all vectors.  Empty input gives no rows.
 
-    `levels`: fine codebooks of a scan, 12 by default, as the k best may be far (of 96,000
-    vectors' true 10 nearest the best 600 scores hold 0.99; 4 levels: 0.70).
-    `sample_rows` bounds the vectors that codebooks are fitted on (those of the smallest id
-    hashes); the number of cells is sqrt(n) up to `max_cells`.
+    `probes`: cells a query visits, by default as many as reach `recall` on the sample.
+    `levels`: fine codebooks, by default 4 for a `min_cos` of 0.9 or more (where a bound decides
+    what is scored by vectors) and 12 otherwise, as the k best may be far.
+    The number of cells is sqrt(n) up to `max_cells`; `sample_rows`, or 8 a cell if that is more,
+    bounds the vectors that codebooks are fitted on (those of the smallest id hashes).
     """
     spark = df.sparkSession
     # Distance of unit vectors within which a dense group's neighbours are complete.
     reach = math.sqrt(2 - 2 * min(1.0, max(min_cos, 0.9)))
     vec = F.col(vec_col).cast("array<double>")
-    rows = (
+    rows, _ = store(
         df.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec")).filter(F.col("id").isNotNull() & usable(F.col("vec"), n_dims))
         .groupBy("id").agg(F.min("vec").alias("vec"))
         .select("id", "vec", F.struct(F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g")).alias("key"))
     )
-    rows = cut(rows)
     members = rows.select("id", "key")
-    # The k + 1 smallest ids of a class, through `salts` groups, so no class is one task's.
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
-    first = F.row_number().over(Window.partitionBy("key", "s").orderBy("id"))
-    low = members.withColumn("s", salt).withColumn("r", first)
-    classes = (
-        low.groupBy("key", "s").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("r") <= k + 1, F.col("id"))).alias("ids"))
-        .groupBy("key").agg(F.sum("n").alias("size"), F.flatten(F.collect_list("ids")).alias("ids"))
-        .select("key", "size", F.slice(F.sort_array("ids"), 1, k + 1).alias("ids"))
-        .withColumn("rep", F.element_at("ids", 1))
-    )
-    classes = cut(classes)
-    reps = cut(classes.select("rep").join(rows.select(F.col("id").alias("rep"), "vec"), "rep"))
+    # The k + 1 smallest ids of a class: each task sends at most so many of any class.
+    first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    low = members.withColumn("r", first).filter(F.col("r") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    classes, _ = store(low.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").select("key", "size", "ids", F.element_at("ids", 1).alias("rep")))
+    reps, _ = store(rows.select(F.col("id").alias("rep"), "vec").join(classes.select("rep"), "rep", "left_semi"))
     n = reps.count()
     empty = spark.createDataFrame([], "q bigint, item bigint, cos double")
     if n > 1:
         cells = max(1, min(max_cells, math.isqrt(n)))
-        picked = reps.select("vec").orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(sample_rows)
-        x = np.array([r[0] for r in collect_bounded(picked, sample_rows, "sample")])
-        x = x / np.abs(x).max(1, keepdims=True)
-        books = fit_codebooks((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), cells, (levels or 12) if scan else 0, beam)
-        packed = cut(reps.mapInPandas(_pack(books, beam, scan), "rep bigint, u binary, cell int, codes binary, norm float, off float"))
-        asked = packed
+        sample_rows = max(sample_rows, 8 * cells)
+        picked = reps.select("vec").orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(sample_rows).toArrow()
+        sample = _units(picked["vec"].combine_chunks().flatten().to_numpy().reshape(-1, n_dims))
+        close = min_cos >= 0.9
+        books = fit_codebooks(sample, cells, levels or (4 if close else 12), beam)
+        probes = probes or calibrate(books, sample, k, min_cos, recall)
+        books_cast = spark.sparkContext.broadcast(books)  # cells and levels x 256 codewords
+        packed, _ = store(spread(reps).mapInArrow(_pack(books_cast, beam), "rep bigint, u binary, cell int, codes binary, norm float, rest float, off float"))
+        asked = packed.select("rep", "u")
         if queries is not None:
-            wanted = rows.select("id", "key").filter(queries).select("key").distinct().join(classes.select("key", "rep"), "key").select("rep")
-            asked = packed.join(wanted, "rep", "left_semi")
-        if scan:
-            blocks = max(1, math.ceil(n / (2 * chunk)))
-            n_asked = asked.count()
-            parts = max(1, math.ceil(n_asked / chunk))
-            item_rows = packed.withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(blocks)).cast("int"))
-            item_rows = item_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-            query_rows = asked.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            query_rows = query_rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(parts)).cast("int"))
-            keys = ["blk", "part"]
-            item_rows, query_rows = item_rows.withColumn("ic", F.lit(0)), query_rows.withColumn("ic", F.lit(0))
-        else:
-            core = F.when(F.col("off") <= reach, F.col("off"))
-            held = packed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count(core).alias("n_core"), F.max(core).alias("far"))
-            # One row a cell, at most max_cells.
-            count, n_core, far = np.zeros(cells), np.zeros(cells), np.full(cells, -1.0)
-            for r in collect_bounded(held, max_cells, "cells"):
-                count[r["cell"]], n_core[r["cell"]], far[r["cell"]] = r["n"], r["n_core"], -1.0 if r["far"] is None else r["far"]
-            block = _merge(books.coarse, count, 2 * n_core > count, reach, chunk)
-            visits = cut(asked.select("rep", "u").mapInPandas(_visits(books, probes, block, far, reach), "rep bigint, u binary, blks array<int>"))
-            visits = visits.select("rep", "u", F.explode("blks").alias("blk"))
-            of_cell = F.element_at(F.lit(block.tolist()), F.col("cell") + 1).cast("int")
-            stored = packed.withColumn("blk", of_cell)
-            size = stored.groupBy("blk").agg(F.count(F.lit(1)).alias("n_i"))
-            load = visits.groupBy("blk").agg(F.count(F.lit(1)).alias("n_q"))
-            plan = size.join(load, "blk").select(
-                "blk", F.ceil(F.col("n_i") / chunk).cast("int").alias("ics"), F.ceil(F.col("n_q") / (4 * chunk)).cast("int").alias("parts")
-            )
-            plan = spark.createDataFrame(collect_bounded(plan, max_cells, "cells"), "blk int, ics int, parts int")
-            to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-            item_rows = stored.join(F.broadcast(plan), "blk")
-            item_rows = item_rows.withColumn("ic", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("ics")).cast("int")).withColumn("part", F.explode(to("parts")))
-            query_rows = visits.join(F.broadcast(plan), "blk")
-            query_rows = query_rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(13)), F.col("parts")).cast("int")).withColumn("ic", F.explode(to("ics")))
-            keys = ["blk", "ic", "part"]
-        shape = ["blk", "ic", "part", "rep", "u"]
-        both = item_rows.select(*shape, "cell", "codes", "norm", F.lit(False).alias("is_q")).unionByName(
-            query_rows.select(*shape, F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("codes"),
-                              F.lit(None).cast("float").alias("norm"), F.lit(True).alias("is_q"))
+            wanted = members.filter(queries).select("key").distinct().join(classes.select("key", "rep"), "key").select("rep")
+            asked = asked.join(wanted, "rep", "left_semi")
+        core = F.when(F.col("off") <= reach, F.col("off"))
+        held = packed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(core).alias("far"))
+        # One row a cell, at most max_cells.
+        count, far = np.zeros(cells), np.full(cells, -1.0)
+        for r in collect_bounded(held, max_cells, "cells"):
+            count[r["cell"]], far[r["cell"]] = r["n"], -1.0 if r["far"] is None else r["far"]
+        block = _blocks(books.coarse, count, chunk)
+        visits = asked.mapInArrow(_visits(books_cast, probes, block, far, reach), "rep bigint, u binary, blk int, cells array<int>")
+        load = dict(collect_bounded(visits.groupBy("blk").agg(F.count(F.lit(1)).alias("n")), max_cells, "blocks"))
+        size = np.bincount(block, weights=count, minlength=cells)
+        # A block with very many items or queries is cut into chunks of both.
+        plan = [(int(b), math.ceil(size[b] / (2 * chunk)), math.ceil(load[b] / (4 * chunk))) for b in np.unique(block) if size[b] and load.get(b)]
+        plan = F.broadcast(spark.createDataFrame(plan, "blk int, ics int, parts int"))  # at most max_cells rows
+        to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        place = lambda c, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(c)).cast("int")
+        stored = packed.withColumn("blk", F.element_at(F.lit(block.tolist()), F.col("cell") + 1).cast("int")).join(plan, "blk")
+        visits = visits.join(plan, "blk")
+        keys, nothing = ["blk", "ic", "part"], lambda c, t: F.lit(None).cast(t).alias(c)
+        both = stored.withColumn("ic", place("ics", 11)).withColumn("part", to("parts")).select(
+            *keys, "rep", "u", "cell", "codes", "norm", "rest", nothing("cells", "array<int>"), F.lit(False).alias("is_q")
+        ).unionByName(
+            visits.withColumn("part", place("parts", 13)).withColumn("ic", to("ics")).select(
+                *keys, "rep", "u", nothing("cell", "int"), nothing("codes", "binary"), nothing("norm", "float"), nothing("rest", "float"), "cells", F.lit(True).alias("is_q"))
         )
         spare = k + 3  # single precision decides which are reranked
-        score = _score(books, spare, 8 * spare, min_cos) if scan else _exact(n_dims, spare, min_cos)
-        found = both.groupBy(*keys).applyInPandas(score, "q bigint, item bigint, cos float")
+        found = both.groupBy(*keys).applyInPandas(_score(books_cast, spare, min_cos), "q bigint, item bigint, cos float")
         best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "item"))
         found = found.withColumn("r", best).filter(F.col("r") <= spare).select("q", "item")
         vq, vi = reps.select(F.col("rep").alias("q"), F.col("vec").alias("vq")), reps.select(F.col("rep").alias("item"), F.col("vec").alias("vi"))

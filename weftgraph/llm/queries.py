@@ -27,9 +27,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.group_matches(read(spark, d, "graph_nodes"), matches)
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    authors = cooccur.cooccurrence(read(spark, d, "paper_author"), "paper_id", "author_id")
-    items = cooccur.cooccurrence(read(spark, d, "alircd_edges").filter("edge_type = 'B'"), "source_id", "dest_id")
+def _pairs(spark: SparkSession, d: str, **options) -> DataFrame:
+    authors = cooccur.cooccurrence(read(spark, d, "paper_author"), "paper_id", "author_id", **options)
+    items = cooccur.cooccurrence(read(spark, d, "alircd_edges").filter("edge_type = 'B'"), "source_id", "dest_id", **options)
     return authors.withColumn("basket_table", F.lit("paper_author")).unionByName(items.withColumn("basket_table", F.lit("alircd_edges")))
 
 
@@ -53,9 +53,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("basket_table", "item_a", "item_b")
 
 
-@R.query("p6_scores", _cooccur_sql("basket_table, item_a, item_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) AS lift"))
-def p6_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("basket_table", "item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
+_SCORES = _cooccur_sql("basket_table, item_a, item_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) AS lift")
+
+
+@R.query("p6_scores", _SCORES)
+def p6_scores(spark: SparkSession, d: str, **options) -> DataFrame:
+    return _pairs(spark, d, **options).select("basket_table", "item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
+
+
+@R.query("p6_scores_in_chunks", _SCORES)
+def p6_scores_in_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The same with baskets of more than 8 items in chunk-pair products."""
+    return p6_scores(spark, d, block=8)
 
 
 @R.query(
@@ -93,6 +102,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1].filter("not met").select("mix_name", "source")
 
 
+@R.query("p9_selection")
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix and how often each is used."""
+    return _mix(spark, d)[0]
+
+
 @R.query("p9_report")
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
@@ -130,7 +145,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_knn(spark: SparkSession, d: str) -> DataFrame:
     """The 10 most similar of every vector whose id is divisible by 20, among all vectors."""
     a, b = (
-        neighbours.nearest(read(spark, d, t), i, v, k=10, queries=F.col("id") % 20 == 0, scan=True).select(F.lit(t).alias("vec_table"), "id", "other", F.round("cos", 6).alias("cos"))
+        neighbours.nearest(read(spark, d, t), i, v, k=10, queries=F.col("id") % 20 == 0).select(F.lit(t).alias("vec_table"), "id", "other", F.round("cos", 6).alias("cos"))
         for t, i, v in _VECTORS
     )
     return a.unionByName(b)
