@@ -31,6 +31,26 @@ def stack(nodes: DataFrame, layers: Sequence[Layer], act: L.Act | None = vec.rel
     return nodes
 
 
+def sequence(nodes: DataFrame, steps: Sequence[Layer]) -> DataFrame:
+    """Layers, maps and activations in turn, lineage cut between them."""
+    for i, step in enumerate(steps):
+        nodes = step(nodes)
+        if i + 1 < len(steps):
+            nodes = cut(nodes)
+    return nodes
+
+
+def weighed(nodes: DataFrame, a: Layer, b: Layer, share: float) -> DataFrame:
+    """share * a(x) + (1 - share) * b(x)."""
+    return S.axpy(a(nodes), b(nodes), share, 1 - share)
+
+
+def unit_rows(nodes: DataFrame) -> DataFrame:
+    """Each vector over its norm; zeros stay."""
+    n = vec.norm(F.col("x"))
+    return nodes.select("id", vec.scale(F.col("x"), F.coalesce(1 / F.nullif(n, F.lit(0.0)), F.lit(0.0))).alias("x"))
+
+
 def gcn(nodes, edges, weights: Sequence[L.Matrix], norm: str = "both") -> DataFrame:
     return stack(nodes, [lambda x, w=w: L.gcn(x, edges, w, norm=norm) for w in weights])
 

@@ -2,9 +2,11 @@
 
 Expectation-maximisation for a mixture over mixed data: component k has a share pi_k, a
 categorical distribution theta_k over the types and a Gaussian (mu_k, diagonal var_k) over
-the vector.  Records with a missing part take part in the fit with the part they have.
+the vector, of a scale that is the record's own (so that few records far out do not decide a
+mean: the marginal is a Student distribution).  Records with a missing part take part in the
+fit with the part they have.
 
-* Fit: every iteration is one pass in which each task turns its rows into K rows of
+* Fit: until the likelihood rests, every iteration is one pass in which each task turns its rows into K rows of
   sufficient statistics; those are summed on the cluster and K x (1 + types + 2 x dims)
   numbers reach the driver, whatever the size of the data.
 * Groups: records of one session (or, without a session, of one span of time) share a
@@ -12,7 +14,7 @@ the vector.  Records with a missing part take part in the fit with the part they
   per task first, so a group with a third of all rows sends one row a task.
 * Fill: a missing type becomes the mode of its conditional distribution, a missing vector
   its conditional expectation, given the part that is there, the group's mixing, types and
-  shift.
+  shift.  How much a vector says about the type beyond its group is measured on known types.
   A mask column marks each filled value.
 """
 
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,101 +50,118 @@ class Mixture:
     mean: np.ndarray  # K x dims
     var: np.ndarray  # K x dims
     shift_var: np.ndarray  # dims: variance of the groups' shifts
+    tails: float  # degrees of freedom of the scales
+    evidence: float = 1.0  # power of what a vector says about the type beyond its group
 
-    def log_joint(self, code: np.ndarray, x: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
-        """rows x K.  code -1: no type; a row of x that is NaN: no vector."""
+    def expect(self, code: np.ndarray, x: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(responsibilities, weights of the vectors by their scales, log likelihoods); rows x K, the last by row.
+
+        code -1: no type; a row of x that is NaN: no vector.  Constants of the likelihood are left out.
+        """
         out = np.log(self.share)[None, :] + np.zeros((len(code), 1)) if prior is None else np.log(prior)
         typed = code >= 0
         out[typed] += np.log(self.theta).T[code[typed]]
+        weight, dims = np.zeros(out.shape), x.shape[1]
         with_x = ~np.isnan(x[:, 0])
         if with_x.any():
             v = x[with_x]
             inv = 1.0 / self.var
-            quad = (v**2) @ inv.T - 2 * v @ (self.mean * inv).T + (self.mean**2 * inv).sum(1)[None, :]
-            out[with_x] += -0.5 * (quad + np.log(self.var).sum(1)[None, :])
-        return out
-
-    def responsibilities(self, code, x, prior=None) -> np.ndarray:
-        lj = self.log_joint(code, x, prior)
-        lj -= lj.max(1, keepdims=True)
-        r = np.exp(lj)
-        return r / r.sum(1, keepdims=True)
+            quad = np.maximum((v**2) @ inv.T - 2 * v @ (self.mean * inv).T + (self.mean**2 * inv).sum(1)[None, :], 0)
+            out[with_x] -= 0.5 * ((self.tails + dims) * np.log1p(quad / self.tails) + np.log(self.var).sum(1)[None, :])
+            weight[with_x] = (self.tails + dims) / (self.tails + quad)
+        top = out.max(1, keepdims=True)
+        r = np.exp(out - top)
+        total = r.sum(1, keepdims=True)
+        return r / total, weight, (np.log(total) + top)[:, 0]
 
 
-def _matrix(col: pd.Series, n_dims: int) -> np.ndarray:
+def _matrix(col: pa.ListArray, n_dims: int) -> np.ndarray:
+    """Rows of n_dims values; NaN for what is null or of another length."""
     x = np.full((len(col), n_dims), np.nan)
-    for i, v in enumerate(col):
-        if v is not None and len(v) == n_dims:
-            x[i] = v
+    size = col.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    good = size == n_dims
+    x[good] = col.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_dims)
     return x
 
 
+def _rows(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
 def _statistics(model: Mixture, n_types: int, n_dims: int):
     k = len(model.share)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, t = np.zeros(k), np.zeros((k, n_types))
-        w, s, q = np.zeros(k), np.zeros((k, n_dims)), np.zeros((k, n_dims))
-        for pdf in parts:
-            code, x = pdf["code"].to_numpy(), _matrix(pdf["x"], n_dims)
-            r = model.responsibilities(code, x)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, t, loglik = np.zeros(k), np.zeros((k, n_types)), np.zeros(k)
+        w, u, s, q = np.zeros(k), np.zeros(k), np.zeros((k, n_dims)), np.zeros((k, n_dims))
+        for part in parts:
+            code, x = part.column(0).to_numpy(), _matrix(part.column(1), n_dims)
+            r, weight, each = model.expect(code, x)
+            loglik[0] += each.sum()
             n += r.sum(0)
             for c in range(n_types):
                 t[:, c] += r[code == c].sum(0)
             have = ~np.isnan(x[:, 0])
-            r, x = r[have], x[have]
+            r, x, ru = r[have], x[have], (r * weight)[have]
             w += r.sum(0)
-            s += r.T @ x
-            q += r.T @ (x**2)
-        stats = np.concatenate([n[:, None], t, w[:, None], s, q], axis=1)
-        yield pd.DataFrame({"k": np.arange(k, dtype=np.int32), "stats": list(stats)})
+            u += ru.sum(0)
+            s += ru.T @ x
+            q += ru.T @ (x**2)
+        stats = np.concatenate([n[:, None], t, w[:, None], u[:, None], loglik[:, None], s, q], axis=1)
+        width = stats.shape[1]
+        at = np.arange(k * width)
+        yield pa.RecordBatch.from_pydict({"k": (at // width).astype(np.int32), "p": (at % width).astype(np.int32), "v": stats.ravel()})
 
     return run
 
 
-def _summed(partial: DataFrame, k: int, width: int) -> np.ndarray:
-    rows = collect_bounded(
-        partial.select("k", F.posexplode("stats").alias("p", "v")).groupBy("k", "p").agg(F.sum("v").alias("v")),
-        k * width, "sufficient statistics",
-    )
+def _summed(rows: DataFrame, model: Mixture, n_types: int, n_dims: int) -> np.ndarray:
+    k, width = len(model.share), 4 + n_types + 2 * n_dims
+    partial = rows.select("code", "x").mapInArrow(_statistics(model, n_types, n_dims), "k int, p int, v double")
     out = np.zeros((k, width))
-    for r in rows:
+    for r in collect_bounded(partial.groupBy("k", "p").agg(F.sum("v").alias("v")), k * width, "sufficient statistics"):
         out[r["k"], r["p"]] = r["v"]
     return out
 
 
 def fit_mixture(
-    rows: DataFrame, n_types: int, n_dims: int, components: int = 12, iterations: int = 8, floor: float = 1e-3, seed: int = 7
+    rows: DataFrame, n_types: int, n_dims: int, components: int = 12, iterations: int = 12, rest: float = 1e-3, tails: float = 8.0, floor: float = 1e-3, seed: int = 7
 ) -> Mixture:
     """Fit on all of `rows` (code INT or -1, x ARRAY<DOUBLE> or null).
 
-    The start is a fixed spread around the overall mean; one statistics pass gives it.  With
+    The start is a fixed spread around the overall mean; one statistics pass gives it.  Updates
+    end when one gains less than `rest` per record in log likelihood, or after `iterations`.  With
     no vectors at all the Gaussians stay at (0, 1); with no rows the model is uniform.
     """
-    width = 1 + n_types + 1 + 2 * n_dims
     rng = np.random.default_rng(seed)
-    one = Mixture(np.ones(1), np.full((1, n_types), 1 / n_types), np.zeros((1, n_dims)), np.ones((1, n_dims)), np.zeros(n_dims))
-    first = _summed(rows.mapInPandas(_statistics(one, n_types, n_dims), "k int, stats array<double>"), 1, width)[0]
+    one = Mixture(np.ones(1), np.full((1, n_types), 1 / n_types), np.zeros((1, n_dims)), np.ones((1, n_dims)), np.zeros(n_dims), 1e12)  # all weights are 1
+    vectors = 4 + n_types
+    first = _summed(rows, one, n_types, n_dims)[0]
     w = max(first[1 + n_types], 1.0)
-    mean = first[2 + n_types : 2 + n_types + n_dims] / w
-    var = np.maximum(first[2 + n_types + n_dims :] / w - mean**2, floor) if first[1 + n_types] else np.ones(n_dims)
+    mean = first[vectors : vectors + n_dims] / w
+    var = np.maximum(first[vectors + n_dims :] / w - mean**2, floor) if first[1 + n_types] else np.ones(n_dims)
     model = Mixture(
         np.full(components, 1 / components),
         rng.dirichlet(np.full(n_types, 1.0), components) * 0.5 + 0.5 / n_types,
         mean + rng.normal(0, 0.7, (components, n_dims)) * np.sqrt(var),
         np.tile(var, (components, 1)),
         np.zeros(n_dims),
+        tails,
     )
+    before = -np.inf
     for _ in range(iterations):
-        st = _summed(rows.mapInPandas(_statistics(model, n_types, n_dims), "k int, stats array<double>"), components, width)
-        n, t, w = st[:, 0], st[:, 1 : 1 + n_types], st[:, 1 + n_types]
-        s, q = st[:, 2 + n_types : 2 + n_types + n_dims], st[:, 2 + n_types + n_dims :]
+        st = _summed(rows, model, n_types, n_dims)
+        n, t, w, u, loglik = st[:, 0], st[:, 1 : 1 + n_types], st[:, 1 + n_types], st[:, 2 + n_types], st[:, 3 + n_types].sum()
+        s, q = st[:, vectors : vectors + n_dims], st[:, vectors + n_dims :]
         theta = (t + 1.0 / n_types) / (t.sum(1, keepdims=True) + 1.0)
         share = (n + 1.0) / (n.sum() + components)
         # One pseudo-record of the overall distribution keeps empty components alive.
-        mu = (s + mean) / (w + 1)[:, None]
-        sq = (q + var + mean**2) / (w + 1)[:, None]
-        model = Mixture(share, theta, mu, np.maximum(sq - mu**2, floor), np.zeros(n_dims))
+        mu = (s + mean) / (u + 1)[:, None]
+        sq = q + var + mean**2 - 2 * mu * (s + mean) + mu**2 * (u + 1)[:, None]
+        model = Mixture(share, theta, mu, np.maximum(sq / (w + 1)[:, None], floor), np.zeros(n_dims), tails)
+        if loglik - before < rest * max(1.0, n.sum()):
+            break
+        before = loglik
     return model
 
 
@@ -149,25 +169,25 @@ def _group_partials(model: Mixture, n_dims: int, most: int = 4096):
     """One row a group and task: mixing counts, sum of precision-weighted residuals, precision, type counts."""
     n_types = model.theta.shape[1]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
 
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"grp": list(held), "stats": list(held.values())})
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"grp": list(held), "stats": list(held.values())})
             held.clear()
             return out
 
         inv = 1.0 / model.var
-        for pdf in parts:
-            code, x = pdf["code"].to_numpy(), _matrix(pdf["x"], n_dims)
-            r = model.responsibilities(code, x)
-            have = ~np.isnan(x[:, 0])
-            prec = np.where(have[:, None], r @ inv, 0.0)
-            resid = np.where(have[:, None], np.nan_to_num(x) * (r @ inv) - r @ (model.mean * inv), 0.0)
+        for part in parts:
+            code, x = _rows(part, "code"), _matrix(part.column(part.schema.get_field_index("x")), n_dims)
+            r, weight, _ = model.expect(code, x)
+            ru = r * weight
+            prec = ru @ inv
+            resid = np.nan_to_num(x) * prec - ru @ (model.mean * inv)
             kinds = np.zeros((len(code), n_types))
             kinds[np.flatnonzero(code >= 0), code[code >= 0]] = 1.0
             stats = np.concatenate([r, resid, prec, kinds], axis=1)
-            keys, at = np.unique(pdf["grp"].to_numpy(dtype=str), return_inverse=True)
+            keys, at = np.unique(_rows(part, "grp").astype(str), return_inverse=True)
             total = np.zeros((len(keys), stats.shape[1]))
             np.add.at(total, at, stats)
             for key, row in zip(keys, total):
@@ -197,31 +217,52 @@ def _shift_variance(groups: DataFrame, k: int, n_dims: int) -> np.ndarray:
     return out
 
 
+POWERS = (0.0, 0.25, 0.5, 1.0)
+
+
+def _evidence(model: Mixture, n_dims: int, strength: float):
+    """(code, x, kinds of the group) -> (p, v): log likelihood of known types, each left out of its group, for each of POWERS."""
+    overall = model.share @ model.theta
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(POWERS))
+        for part in parts:
+            code, x = part.column(0).to_numpy(), _matrix(part.column(1), n_dims)
+            at = np.arange(len(code)), code
+            others = _matrix(part.column(2), len(overall))
+            others[at] -= 1
+            own = np.maximum(others, 0) + strength * overall
+            said = (model.expect(np.full(len(code), -1), x)[0] @ model.theta) / overall
+            for i, power in enumerate(POWERS):
+                p = own * said**power
+                total[i] += np.log(p[at] / p.sum(1)).sum()
+        yield pa.RecordBatch.from_pydict({"p": np.arange(len(POWERS), dtype=np.int32), "v": total})
+
+    return run
+
+
 def _filler(model: Mixture, types: list[str], n_dims: int, strength: float):
     k = len(model.share)
     overall = model.share @ model.theta
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            if not len(pdf):
-                continue
-            code, x = pdf["code"].to_numpy(), _matrix(pdf["x"], n_dims)
-            stats = np.zeros((len(pdf), k + 2 * n_dims + len(types)))
-            for i, s in enumerate(pdf["stats"]):
-                if s is not None:
-                    stats[i] = s
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            code, x = _rows(part, "code"), _matrix(part.column(part.schema.get_field_index("x")), n_dims)
+            stats = np.nan_to_num(_matrix(part.column(part.schema.get_field_index("stats")), k + 2 * n_dims + len(types)))
             counts, a, b, kinds = np.split(stats, [k, k + n_dims, k + 2 * n_dims], axis=1)
             prior = (counts + strength * model.share) / (counts.sum(1, keepdims=True) + strength)
             shift = a * model.shift_var / (1.0 + b * model.shift_var)
-            r = model.responsibilities(code, x, prior)
+            r = model.expect(code, x, prior)[0]
             # The group's types, shrunk to the overall ones, times what the vector says beyond them.
             own = (kinds + strength * overall) / (kinds.sum(1, keepdims=True) + strength)
-            best = (own * (model.responsibilities(code, x) @ model.theta) / overall).argmax(1)
+            said = (model.expect(code, x)[0] @ model.theta) / overall
+            best = (own * said**model.evidence).argmax(1)
             expected = r @ model.mean + shift
-            out = pdf.drop(columns=["stats", "code", "x"])
-            out["fill_type"] = [types[c] if m else None for c, m in zip(best, code < 0)]
-            out["fill_vec"] = [v if m else None for v, m in zip(expected, pdf["no_vec"])]
-            yield out
+            no_vec = _rows(part, "no_vec")
+            named = pa.array([types[c] if m else None for c, m in zip(best, code < 0)], pa.string())
+            vectors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(no_vec * n_dims)]).astype(np.int32)), pa.array(expected[no_vec.astype(bool)].ravel()), mask=pa.array(~no_vec.astype(bool)))
+            keep = [n for n in part.schema.names if n not in ("stats", "code", "x")]
+            yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in keep], named, vectors], [*keep, "fill_type", "fill_vec"])
 
     return run
 
@@ -236,7 +277,7 @@ def fill_missing(
     time_col: str = "seen_at",
     n_dims: int = 64,
     components: int = 12,
-    iterations: int = 8,
+    iterations: int = 12,
     span_s: int = 21_600,
     strength: float = 2.0,
     max_types: int = 1_000,
@@ -273,13 +314,18 @@ def fill_missing(
     seen = base.select("grp", "code", "x").filter("code >= 0 or x is not null")
     model = fit_mixture(seen.select("code", "x"), len(names), n_dims, components, iterations)
     groups = cut(
-        seen.mapInPandas(_group_partials(model, n_dims), "grp string, stats array<double>")
+        seen.mapInArrow(_group_partials(model, n_dims), "grp string, stats array<double>")
         .groupBy("grp").applyInPandas(_add_up, "grp string, stats array<double>")
     )
     model.shift_var = _shift_variance(groups, components, n_dims)
+    # Vectors weigh on types as far as known types bear it out.
+    kinds = groups.select("grp", F.slice("stats", components + 2 * n_dims + 1, len(names)).alias("kinds"))
+    told = seen.filter("code >= 0 and x is not null").join(kinds, "grp").select("code", "x", "kinds").mapInArrow(_evidence(model, n_dims, strength), "p int, v double")
+    gains = dict(collect_bounded(told.groupBy("p").agg(F.sum("v").alias("v")), len(POWERS), "powers"))
+    model.evidence = POWERS[max(gains, key=lambda p: (gains[p], -p))] if gains else 0.0
     lacking = base.filter("code < 0 or no_vec").join(groups, "grp", "left")
     schema = "grp string, id " + dict(base.dtypes)["id"] + ", grp_raw " + dict(base.dtypes)["grp_raw"] + ", at " + dict(base.dtypes)["at"]
-    filled = lacking.select("grp", "id", "grp_raw", "at", "vec", "no_vec", "code", F.col("code").alias("c0"), "x", "stats").mapInPandas(
+    filled = lacking.select("grp", "id", "grp_raw", "at", "vec", "no_vec", "code", F.col("code").alias("c0"), "x", "stats").mapInArrow(
         _filler(model, names, n_dims, strength),
         schema + ", vec array<double>, no_vec boolean, c0 int, fill_type string, fill_vec array<double>",
     )

@@ -87,13 +87,13 @@ def profile_by_key(
 
 
 def both_sides(edges: DataFrame, src: str, dst: str, value: Column | None = None) -> DataFrame:
-    """(side, node_id, value): each edge once for either end, in one pass over the table."""
-    v = F.lit(None).cast("double") if value is None else value.cast("double")
-    ends = F.array(
-        F.struct(F.lit("src").alias("side"), F.col(src).cast("bigint").alias("node_id")),
-        F.struct(F.lit("dst").alias("side"), F.col(dst).cast("bigint").alias("node_id")),
-    )
-    return edges.select(v.alias("value"), F.explode(ends).alias("e")).select("e.side", "e.node_id", "value")
+    """(side, node_id, value): each edge once for either end, in one pass over the table.
+
+    Without `value` it is the other end (exact as a double up to 2^53).
+    """
+    s, d = F.col(src).cast("bigint"), F.col(dst).cast("bigint")
+    end = lambda side, own, other: F.struct(F.lit(side).alias("side"), own.alias("node_id"), (other if value is None else value).cast("double").alias("value"))
+    return edges.select(F.explode(F.array(end("src", s, d), end("dst", d, s))).alias("e")).select("e.side", "e.node_id", "e.value")
 
 
 def hot_keys(profile: DataFrame, n_rows: int, share: float = 0.02) -> DataFrame:

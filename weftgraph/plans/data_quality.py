@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.core.session import read
+from weftgraph.core.session import cut, read
 from weftgraph.operators import missing, parsing, skew
 from weftgraph.plans.registry import Registry
 
@@ -39,6 +41,41 @@ def p2_fill(spark: SparkSession, d: str) -> DataFrame:
     return _filled(spark, d).withColumn("node_embeds", F.transform("node_embeds", lambda v: F.round(v, 6)))
 
 
+@R.query("p2_score")
+def p2_score(spark: SparkSession, d: str) -> DataFrame:
+    """(field, method, n, score): a tenth of the known values hidden and filled again, by the mixture and by the session.
+
+    score: share of right types, or the mean squared error of vectors' components.  The session's
+    answers are its most frequent type (the smallest of equals) and its mean vector.
+    """
+    vec = F.col("node_embeds").cast("array<double>")
+    one = read(spark, d, "alircd_nodes").filter("node_id is not null").groupBy("node_id").agg(F.min(F.struct("node_type", vec.alias("node_embeds"), "session_id", "seen_at")).alias("r"))
+    types = read(spark, d, "node_types")
+    known = cut(one.select("node_id", "r.*").join(
+        F.broadcast(types.select(missing.type_key(F.col("node_type")).alias("k"), F.col("node_type").alias("truth"))),  # a fixed table
+        missing.type_key(F.col("node_type")) == F.col("k"), "left",
+    ).withColumn("x", F.when(~missing.vector_missing(F.col("node_embeds"), 64), F.col("node_embeds"))))
+    drawn = lambda seed: F.pmod(F.xxhash64("node_id", F.lit(seed)), F.lit(10)) == 0
+    hidden = known.select("node_id", "session_id", "seen_at", F.when(~drawn(1), F.col("truth")).alias("node_type"), F.when(~drawn(2), F.col("x")).alias("node_embeds"))
+    asked_type, asked_vec = (known.filter(drawn(i) & F.col(c).isNotNull()).select("node_id", "session_id", F.col(c).alias("truth")) for i, c in ((1, "truth"), (2, "x")))
+    filled = missing.fill_missing(hidden, types).select("node_id", "node_type", "node_embeds")
+    mode = hidden.filter("node_type is not null").groupBy("session_id", "node_type").agg(F.count(F.lit(1)).alias("n"))
+    mode = mode.groupBy("session_id").agg(F.min_by("node_type", F.struct(-F.col("n"), "node_type")).alias("node_type"))
+    long = lambda df, key, x: df.select(key, F.posexplode(x).alias("p", "v"))
+    mean = long(hidden.filter("node_embeds is not null"), "session_id", "node_embeds").groupBy("session_id", "p").agg(F.avg("v").alias("v"))
+    n = F.count(F.lit(1)).alias("n")
+    right = F.avg((F.col("truth") == F.col("node_type")).cast("double")).alias("score")
+    error = F.avg((F.col("t") - F.col("v")) ** 2).alias("score")
+    parts = asked_vec.select("node_id", "session_id", F.posexplode("truth").alias("p", "t"))
+    out = [
+        asked_type.join(filled, "node_id").agg(n, right).select(F.lit("node_type").alias("field"), F.lit("mixture").alias("method"), "n", "score"),
+        asked_type.join(mode, "session_id").agg(n, right).select(F.lit("node_type").alias("field"), F.lit("session").alias("method"), "n", "score"),
+        parts.join(long(filled, "node_id", "node_embeds"), ["node_id", "p"]).agg(n, error).select(F.lit("node_embeds").alias("field"), F.lit("mixture").alias("method"), "n", "score"),
+        parts.join(mean, ["session_id", "p"]).agg(n, error).select(F.lit("node_embeds").alias("field"), F.lit("session").alias("method"), "n", "score"),
+    ]
+    return reduce(DataFrame.unionByName, out).withColumn("score", F.round("score", 4))
+
+
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     rules = parsing.rules_from(read(spark, d, "node_types"), read(spark, d, "edge_types"))
     return parsing.parse_records(read(spark, d, "alircd_raw"), rules)
@@ -108,14 +145,16 @@ def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_TABLES = (("graph_edges", "src", "dst", "w"), ("alircd_edges", "source_id", "dest_id", None))
+#: The value of an edge without weight: its other end, so that each node's neighbours are counted.
+OTHER_END = "other"
+_TABLES = (("graph_edges", "src", "dst", "w"), ("alircd_edges", "source_id", "dest_id", OTHER_END))
 
 
 def _profiles(spark: SparkSession, d: str, points: dict[str, float] | None = None) -> list[tuple[str, DataFrame, int]]:
     out = []
     for table, src, dst, value in _TABLES:
         edges = read(spark, d, table)
-        sides = skew.both_sides(edges, src, dst, F.col(value) if value else None)
+        sides = skew.both_sides(edges, src, dst, None if value == OTHER_END else F.col(value))
         out.append((table, skew.profile_by_key(sides, ["side", "node_id"], "value", points), edges.count()))
     return out
 
@@ -139,7 +178,7 @@ def _p5_sql() -> str:
     parts, ctes = [], []
     for t, s, o, w in _TABLES:
         for side, c in (("src", s), ("dst", o)):
-            v = f"CASE WHEN NOT isnan({w}) THEN {w} END" if w else "CAST(NULL AS DOUBLE)"
+            v = f"CAST({o if side == 'src' else s} AS DOUBLE)" if w == OTHER_END else f"CASE WHEN NOT isnan({w}) THEN {w} END"
             x = f"{t}_{side}"
             ctes.append(f"b_{x} AS (SELECT {c} AS k, {v} AS v FROM {t} WHERE {c} IS NOT NULL)")
             ctes.append(f"n_{x} AS (SELECT k, v, count(*) AS n FROM b_{x} WHERE v IS NOT NULL GROUP BY k, v)")

@@ -89,10 +89,15 @@ def data(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
     return V.features(spark, d), V.edges(spark, d)
 
 
+#: Layers as functions of (nodes, edges or typed edges), for whole models: name -> (function, typed).
+LAYERS: dict = {}
+
+
 def layer(name: str, sql: str | None = None, width: int = 4):
     """Register a layer: a function of (nodes, edges) that returns (id, x)."""
 
     def add(f):
+        LAYERS[name] = f, False
         R.query(name, sql)(lambda spark, d: V.long(f(*data(spark, d))))
         return f
 
@@ -155,7 +160,7 @@ def layer_gaan(x, e):
     return L.gaan(x, e, W44, W42, [A4[:2], A4[2:]], [B4[:2], B4[2:]], M(10, 2), W84, 2)
 
 
-_AG = attend("g1", "SELECT dst, 1.5 * list_dot_product(xs, xd) / (sqrt(list_dot_product(xs, xs)) * sqrt(list_dot_product(xd, xd))) AS s, xs AS m FROM en")
+_AG = attend("g1", "SELECT dst, 1.5 * coalesce(list_dot_product(xs, xd) / nullif(sqrt(list_dot_product(xs, xs)) * sqrt(list_dot_product(xd, xd)), 0), 0) AS s, xs AS m FROM en")
 
 
 @layer("layer_agnn", V.ctes("e", "x", more=(ENDS, *_AG)) + out_long(gathered("FROM g1")))
@@ -295,6 +300,7 @@ def layer_pna(x, e):
 
 def typed_layer(name: str, sql: str | None = None):
     def add(f):
+        LAYERS[name] = f, True
         R.query(name, sql)(lambda spark, d: V.long(f(V.features(spark, d), V.typed(spark, d))))
         return f
 
