@@ -1,5 +1,5 @@
 """Registered queries, one registry a module."""
 
-from weftgraph.plans import data_quality, features, layers, models, sampling, streams, structure
+from weftgraph.plans import data_quality, features, layers, models, sampling, sources, streams, structure
 
-REGISTRIES = [data_quality.R, structure.R, sampling.R, features.R, layers.R, models.R, streams.R]
+REGISTRIES = [data_quality.R, structure.R, sampling.R, features.R, layers.R, models.R, sources.R, streams.R]
