@@ -119,6 +119,11 @@ class HeteroGraph:
             raise KeyError(f"{key}: {len(hits)} relations")
         return self.edges[hits[0]]
 
+    def is_bipartite(self, *key: str) -> bool:
+        """Whether a relation (named as in `edge_table`) joins two types of nodes."""
+        hits = [t for t in self.edges if self.edges[t] is self.edge_table(*key)]
+        return hits[0][0] != hits[0][2]
+
     def rename(self, old: str, new: str) -> HeteroGraph:
         swap = lambda t: new if t == old else t
         return HeteroGraph({swap(t): v for t, v in self.nodes.items()}, {(swap(s), r, swap(d)): v for (s, r, d), v in self.edges.items()})

@@ -9,8 +9,10 @@ so the narrower side is shuffled.  Training is no part of this engine.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,34 @@ Matrix = Sequence[Sequence[float]]
 Act = Callable[[Column], Column]
 
 
+LITERALS = 256  # weights up to which a map is written out as JVM expressions
+
+
+def _product(weight: np.ndarray, bias: np.ndarray):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide, out = weight.shape
+        for part in parts:
+            good = part.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == wide
+            x = part.column(1).filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, wide)
+            ends = np.concatenate([[0], np.cumsum(good * out)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((x @ weight + bias).ravel()), mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "x"])
+
+    return run
+
+
 def dense(nodes: DataFrame, weight: Matrix, bias: Sequence[float] | None = None, act: Act | None = None) -> DataFrame:
-    """(id, x): x @ weight + bias, through `act` component by component."""
+    """(id, x): x @ weight + bias, through `act` component by component.
+
+    A small map is JVM expressions; a large one is a matrix product of whole Arrow batches (a vector
+    that is null or of another length gives null).
+    """
+    if len(weight) * len(weight[0]) > LITERALS:
+        w = np.array(weight, float)
+        b = np.zeros(w.shape[1]) if bias is None else np.array(bias, float)
+        kind = dict(nodes.dtypes)["id"]
+        y = nodes.select("id", F.col("x").cast("array<double>").alias("x")).mapInArrow(_product(w, b), f"id {kind}, x array<double>")
+        return _act(y, act)
     y = vec.linear(F.col("x"), weight, bias)
     return nodes.select("id", (y if act is None else F.transform(y, act)).alias("x"))
 
@@ -556,6 +584,27 @@ def pruned_edges(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
     return edges.join(top, "src").filter(F.abs("w") * F.col("m") >= threshold).drop("m")
 
 
+def pruned_gatv2(nodes, edges, weight: Matrix, att_src: Matrix, att_dst: Matrix, threshold: float, slope: float = 0.2) -> DataFrame:
+    """gatv2 over the edges whose message (by the mapped source, with weight 1) reaches the threshold."""
+    ones = edges.select("src", "dst", F.lit(1.0).alias("w"))
+    return gatv2(nodes, pruned_edges(ones, dense(nodes, weight), threshold), weight, att_src, att_dst, slope=slope)
+
+
+def pruned_gcnii(nodes, start, edges, weight: Matrix, alpha: float, beta: float, threshold: float) -> DataFrame:
+    """gcnii over the edges whose message reaches the threshold."""
+    return gcnii(nodes, start, pruned_edges(edges, nodes, threshold), weight, alpha, beta)
+
+
+def pruned_sage(nodes, edges, neigh: Matrix, own: Matrix, threshold: float) -> DataFrame:
+    """Mean aggregation over the edges whose message reaches the threshold."""
+    return sage(nodes, pruned_edges(edges, nodes, threshold), neigh, own)
+
+
+def metapath_gcn(nodes, edges, weight: Matrix, bias: Sequence[float], slope: float = 0.25) -> DataFrame:
+    """PReLU(A (x W) + b) over the (normalised) edges of a metapath."""
+    return _act(_plus(S.gspmm(edges, dense(nodes, weight), _width(weight)), bias), lambda v: vec.leaky_relu(v, slope))
+
+
 def lorentz_mean(edges: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """Weighted sum of hyperboloid points, scaled back to the sheet: s / sqrt(|<s, s>|) with <,> = -x0 y0 + the rest."""
     s = S.gspmm(edges, nodes, width)

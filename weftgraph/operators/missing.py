@@ -125,7 +125,7 @@ def _summed(rows: DataFrame, model: Mixture, n_types: int, n_dims: int) -> np.nd
 
 
 def fit_mixture(
-    rows: DataFrame, n_types: int, n_dims: int, components: int = 12, iterations: int = 12, rest: float = 1e-3, tails: float = 8.0, floor: float = 1e-3, seed: int = 7
+    rows: DataFrame, n_types: int, n_dims: int, components: int = 12, iterations: int = 12, rest: float = 0.02, tails: float = 8.0, floor: float = 1e-3, seed: int = 7
 ) -> Mixture:
     """Fit on all of `rows` (code INT or -1, x ARRAY<DOUBLE> or null).
 

@@ -532,6 +532,72 @@ def layer_gcn_pruned(x, e):
     return S.gspmm(L.pruned_edges(N.gcn_norm(e), h, 0.05), h, 4)
 
 
+_TOP = "list_max(list_transform({x}, lambda c: abs(c)))"
+_P2 = attend("g1", f"SELECT dst, ({dot(each('xs', leaky('c')), A4)} + {dot(each('xd', leaky('c')), B4)}) / 4 AS s, xs AS m FROM eh WHERE {_TOP.format(x='xs')} >= 0.05")
+
+
+@layer("layer_gatv2_pruned", V.ctes("e", "x", more=(ENDS, h_ends(W44), *_P2)) + out_long(gathered("FROM g1")))
+def layer_gatv2_pruned(x, e):
+    return L.pruned_gatv2(x, e, W44, [A4], [B4], 0.05)
+
+
+_PP = f"px AS ({listed(gathered('SELECT gn.dst, list_transform(x.x, lambda c: c * gn.w) AS m FROM gn JOIN x ON x.id = gn.src WHERE abs(gn.w) * ' + _TOP.format(x='x.x') + ' >= 0.05'))})"
+
+
+@layer("layer_gcnii_pruned", V.ctes("gn", "x", more=(_PP, f"r AS (SELECT x.id, {zipped('px.x', 'x.x', '0.9 * z[1] + 0.1 * z[2]')} AS x FROM x JOIN px ON px.id = x.id)")) + out(f"SELECT id, {zipped('x', V.lin('x', W44), '0.6 * z[1] + 0.4 * z[2]')} AS x FROM r"))
+def layer_gcnii_pruned(x, e):
+    return L.pruned_gcnii(x, x, N.gcn_norm(e), W44, 0.1, 0.4, 0.05)
+
+
+@layer("layer_sage_pruned", V.ctes("e", "x") + out_long(_plus_own(gathered(f"SELECT e.dst, {V.lin('x.x', W44)} AS m FROM e JOIN x ON x.id = e.src WHERE abs(e.w) * {_TOP.format(x='x.x')} >= 0.05", "avg(v)"), W44B)))
+def layer_sage_pruned(x, e):
+    return L.pruned_sage(x, e, W44, W44B, 0.05)
+
+
+_MG = f"mg AS ({listed(gathered('SELECT gn.dst, list_transform(' + V.lin('x.x', W44) + ', lambda c: c * gn.w) AS m FROM gn JOIN x ON x.id = gn.src'))})"
+
+
+@layer("layer_metapath_gcn", V.ctes("gn", "x", more=(_MG,)) + out(f"SELECT id, {each(zipped('x', V.lst(BIAS), 'z[1] + z[2]'), leaky('c', 0.25))} AS x FROM mg"))
+def layer_metapath_gcn(x, e):
+    return L.metapath_gcn(x, N.gcn_norm(e), W44, BIAS)
+
+
+# --- at full width ---------------------------------------------------------------------
+
+W64, W64B = M(64, 64), M(64, 64, 2, 3, 9)
+_V64 = "x AS (SELECT id, x FROM v)"
+
+
+def wide(name: str, sql: str):
+    """A layer over the vectors of 64 components themselves."""
+
+    def add(f):
+        R.query(name, sql.replace(V.CTE["x"], _V64).replace("range(1, 5)", "range(1, 65)"))(lambda spark, d: V.long(f(V.vectors(spark, d), V.edges(spark, d))))
+        return f
+
+    return add
+
+
+@wide("layer_gcn_64", V.ctes("e", "x", more=(_CNT, f"hx AS MATERIALIZED (SELECT id, {V.lin('x', W64)} AS x FROM x)")) + out_long(gathered("SELECT e.dst, list_transform(x.x, lambda c: c * e.w * cs.c ** -0.5 * cd.c ** -0.5) AS m FROM e JOIN hx x ON x.id = e.src JOIN cs ON cs.id = e.src JOIN cd ON cd.id = e.dst", width=64)))
+def layer_gcn_64(x, e):
+    return L.gcn(x, e, W64)
+
+
+@wide("layer_sage_64", V.ctes("e", "x", more=(f"hx AS MATERIALIZED (SELECT id, {V.lin('x', W64)} AS x FROM x)", f"ox AS MATERIALIZED (SELECT id, {V.lin('x', W64B)} AS x FROM x)"))
+      + out_long(f"SELECT p.id, p.k, p.v + o.v AS v FROM ({gathered('SELECT e.dst, x.x AS m FROM e JOIN hx x ON x.id = e.src', 'avg(v)', 64)}) p JOIN (SELECT id, unnest(range(1, 65)) AS k, unnest(x) AS v FROM ox) o ON o.id = p.id AND o.k = p.k"))
+def layer_sage_64(x, e):
+    return L.sage(x, e, W64, W64B)
+
+
+_A64, _B64 = [((3 * i) % 7 - 3) / 40 for i in range(64)], [((5 * i) % 9 - 4) / 40 for i in range(64)]
+_G64 = attend("g1", f"SELECT dst, {leaky(dot('xs', _A64) + ' + ' + dot('xd', _B64))} AS s, xs AS m FROM eh")
+
+
+@wide("layer_gat_64", V.ctes("e", "x", more=(f"hx AS MATERIALIZED (SELECT id, {V.lin('x', W64)} AS x FROM x)", "eh AS MATERIALIZED (SELECT e.dst, a.x AS xs, b.x AS xd FROM e JOIN hx a ON a.id = e.src JOIN hx b ON b.id = e.dst)", *_G64)) + out_long(gathered("FROM g1", width=64)))
+def layer_gat_64(x, e):
+    return L.gat(x, e, W64, [_A64 + _B64])
+
+
 _LO = f"lo AS ({listed(gathered('SELECT e.dst, list_transform(x.x, lambda c: c * e.w) AS m FROM e JOIN x ON x.id = e.src'))})"
 
 

@@ -249,15 +249,15 @@ def batches_shuffled(spark: Spark, d: str) -> DataFrame:
     return P.batches(V.nodes(spark, d), 50, 9)
 
 
-_NB = ("nb AS (SELECT src AS id, dst AS t, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos FROM (SELECT DISTINCT src, dst FROM e))", "dg AS (SELECT id, count(*) AS deg FROM nb GROUP BY id)")
+_NB = ("nb AS MATERIALIZED (SELECT src AS id, dst AS t, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos FROM (SELECT DISTINCT src, dst FROM e))", "dg AS MATERIALIZED (SELECT id, count(*) AS deg FROM nb GROUP BY id)")
 
 
 def _walk(steps: int, seed: int, restart: float = 0.0) -> list[str]:
-    out = ["w0 AS (SELECT id AS walk_id, id, id AS start FROM n)"]
+    out = ["w0 AS MATERIALIZED (SELECT id AS walk_id, id, id AS start FROM n)"]
     for s in range(1, steps + 1):
         at = f"CASE WHEN {uni(seed + 7919, 'w.walk_id', str(s))} < {restart!r} THEN w.start ELSE w.id END" if restart else "w.id"
         out.append(
-            f"w{s} AS (SELECT w.walk_id, coalesce(nb.t, w.id) AS id, w.start FROM (SELECT w.walk_id, {at} AS id, w.start FROM w{s - 1} w) w LEFT JOIN dg ON dg.id = w.id "
+            f"w{s} AS MATERIALIZED (SELECT w.walk_id, coalesce(nb.t, w.id) AS id, w.start FROM (SELECT w.walk_id, {at} AS id, w.start FROM w{s - 1} w) w LEFT JOIN dg ON dg.id = w.id "
             f"LEFT JOIN nb ON nb.id = w.id AND nb.pos = CAST(floor({uni(seed, 'w.walk_id', str(s))} * dg.deg) AS BIGINT))"
         )
     return out
@@ -283,7 +283,7 @@ def random_walks_restart(spark: Spark, d: str) -> DataFrame:
 
 @R.query(
     "walk_windows",
-    V.ctes("e", "n", more=(*_NB, *_walk(4, 21), f"st AS ({_steps(4)})"))
+    V.ctes("e", "n", more=(*_NB, *_walk(4, 21), f"st AS MATERIALIZED ({_steps(4)})"))
     + "SELECT a.walk_id, a.step AS pos, a.id || ',' || b.id || ',' || c.id AS window FROM st a JOIN st b ON b.walk_id = a.walk_id AND b.step = a.step + 1 JOIN st c ON c.walk_id = a.walk_id AND c.step = a.step + 2",
 )
 def walk_windows(spark: Spark, d: str) -> DataFrame:

@@ -50,6 +50,16 @@ def stream_sessions(spark: Spark, d: str) -> DataFrame:
     return _flat(W.run_to_table(W.sessions(events(spark, d), "user_id", "ts", "6 hours")))
 
 
+@R.query(
+    "stream_degree_closed",
+    "SELECT * FROM (SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start, user_id, count(*) AS n FROM events GROUP BY ALL) "
+    "WHERE start + 86400 <= (SELECT floor(epoch(max(ts)) * 1000) / 1000 - 43200 FROM events)",
+)
+def stream_degree_closed(spark: Spark, d: str) -> DataFrame:
+    """Windows are given out once, when the watermark (12 hours behind) has passed them, and their state is dropped."""
+    return _flat(W.run_to_table(W.windowed_degree(events(spark, d), "user_id", "ts", "1 day", late="12 hours"), "append"))
+
+
 @R.query("stream_distinct_edges", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct_edges(spark: Spark, d: str) -> DataFrame:
     return W.run_to_table(W.distinct_edges(events(spark, d), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type"), "append")
