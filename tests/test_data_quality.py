@@ -172,3 +172,22 @@ def test_fill_nothing_and_only_missing(table):
     assert M.fill_missing(table([], SCHEMA), types, n_dims=2, components=2, iterations=1).count() == 0
     only = M.fill_missing(table([(1, None, None, None, None)], SCHEMA), types, n_dims=2, components=2, iterations=1).first()
     assert only["node_type"] == "a" and len(only["node_embeds"]) == 2
+
+
+def test_few_records_far_out_do_not_decide_a_mean(table):
+    """A tenth of each session's vectors is fifty times as long as the others."""
+    import random
+
+    r = random.Random(4)
+    data, truth = [], {}
+    for g in range(12):
+        centre = [r.gauss(0, 1) for _ in range(4)]
+        for i in range(30):
+            x = [c + r.gauss(0, 0.3) for c in centre]
+            x = [50 * v for v in x] if i % 10 == 1 else x
+            hide = i == 0
+            truth |= {100 * g: centre} if hide else {}
+            data.append((100 * g + i, "a", None if hide else x, g, None))
+    got = M.fill_missing(table(data, SCHEMA), table([("a", 4)], "node_type string, n_dims int"), n_dims=4, components=2).filter("node_embeds_filled").collect()
+    error = sum((a - b) ** 2 for row in got for a, b in zip(row["node_embeds"], truth[row["node_id"]])) / (4 * len(got))
+    assert len(got) == 12 and error < 0.5

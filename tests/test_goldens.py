@@ -320,6 +320,7 @@ def test_all_types_take_part(spark, tmp_path):
     spark.createDataFrame([(a, b, 1.0, t) for a, b, t in e], "src bigint, dst bigint, w double, edge_type string").write.parquet(f"{tmp_path}/graph_edges.parquet")
     spark.createDataFrame([("graph", 1)], "scope string, node_id bigint").write.parquet(f"{tmp_path}/anchor_nodes.parquet")
     spark.createDataFrame([(1, 4, None)], "src bigint, dst bigint, matched boolean").write.parquet(f"{tmp_path}/graph_matches.parquet")
+    spark.createDataFrame([(2,), (3,)], "id bigint").write.parquet(f"{tmp_path}/graph_nodes.parquet")
     run = lambda name: rows((features if name.startswith("target") else sampling).queries[name](spark, str(tmp_path)))
     assert run("cycle_counts") == [(2, 1)] and run("triangles") == [(1, 2, 3), (1, 3, 4)]
     assert [r[0] for r in run("khop_nodes")] == [1, 3, 4] and [r[0] for r in run("khop_nodes_out")] == [1, 2, 3, 4]
@@ -328,7 +329,13 @@ def test_all_types_take_part(spark, tmp_path):
     assert {r[1]: r[2] for r in run("shortest_path_distance")} == {1: 0, 2: 1, 3: 1, 4: 2}
     assert {r[1]: r[2] for r in run("shortest_path_nodes")}[4] == "1,3,4" and len(run("bfs_tree_order")) == 4
     assert {r[1] for r in run("enclosing_subgraph_labels")} == {1, 2, 3, 4}
-    assert len(run("node2vec_probabilities")) == 6 and len(run("target_matrix")) == 10
+    assert len(run("target_matrix")) == 10
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b, _ in e], "src bigint, dst bigint, w double")
+    from weftgraph.operators.sample import node2vec_probabilities
+
+    assert node2vec_probabilities(edges, 0.5, 4.0).count() == 6
+    asked = spark.createDataFrame([(1, 2), (2, 1)], "prev bigint, cur bigint")  # the second is no edge
+    assert rows(node2vec_probabilities(edges, 0.5, 4.0, asked)) == [(1, 2, 3, 1.0)]
 
 
 def test_attributes_of_all_nodes(spark, tmp_path):
@@ -337,3 +344,35 @@ def test_attributes_of_all_nodes(spark, tmp_path):
     spark.createDataFrame([(i, i + 10) for i in range(7)], "id bigint, y bigint").write.parquet(f"{tmp_path}/graph_nodes.parquet")
     spark.createDataFrame([("graph", 1)], "scope string, node_id bigint").write.parquet(f"{tmp_path}/anchor_nodes.parquet")
     assert rows(gather_attributes(spark, str(tmp_path))) == [(i, i + 10) for i in range(7)]
+
+
+def test_lists_and_repeats_come_in_blocks(table, monkeypatch):
+    e = table([(1, 5), (1, 3), (1, 3), (2, 9), (1, 7)], "src bigint, dst bigint")
+    assert rows(E.csr(e, 2)) == [(1, 0, [3, 5]), (1, 1, [7]), (2, 0, [9])]
+    monkeypatch.setattr(G, "BLOCK", 2)
+    assert rows(G.ptr2ind(table([(1, 0, 3), (2, 3, 0), (3, 3, 2)], "id bigint, ptr bigint, n bigint"))) == [(1, 0), (1, 1), (1, 2), (3, 3), (3, 4)]
+    assert rows(G.repeat_interleave(table([("a", 5), ("b", 0), ("c", None)], "v string, n int"), "v", "n")) == [("a",)] * 5
+
+
+def test_knn_ties_and_nothing(table):
+    v = [(i, [float(i % 3), 1.0]) for i in range(9)] + [(20, None), (21, [0.0, 0.0]), (None, [1.0, 1.0])]
+    n = table(v, "id bigint, x array<double>")
+    got = rows(X.knn_blocked(n, n.filter("id = 4"), 3, block=4).select("id", "other", "rank"))
+    assert got == [(4, 1, 1), (4, 5, 3), (4, 7, 2)] or [g[1] for g in sorted(got, key=lambda g: g[2])] == [1, 7, 2]
+    assert X.knn_blocked(n.filter("id > 99"), n, 3).count() == 0
+    assert [r[1] for r in rows(X.knn_blocked(n, n.filter("id = 4"), 3, "euclidean", include_self=True).select("rank", "other"))] == [1, 4, 7]
+
+
+def test_large_maps_equal_small_ones(table, monkeypatch):
+    from weftgraph.nn import layers as L
+
+    n = table([(1, [1.0, 2.0]), (2, None), (3, [0.5])], "id bigint, x array<double>")
+    monkeypatch.setattr(L, "LITERALS", 0)
+    got = L.dense(n, [[1.0, 0.0, 2.0], [3.0, 1.0, 0.0]], [0.5, 0.0, -3.0], vec.relu)
+    assert {r["id"]: r["x"] for r in got.collect()} == {1: [7.5, 2.0, 0.0], 2: None, 3: None}
+
+
+def test_bipartite_relations(table):
+    e = table([(1, 2)], "src bigint, dst bigint")
+    g = HeteroGraph({}, {("a", "r", "b"): e, ("a", "s", "a"): e.select("*")})
+    assert g.is_bipartite("r") and not g.is_bipartite("s")

@@ -84,3 +84,12 @@ def test_saint_and_drop(table):
     assert all(r["src"] in ids and r["dst"] in ids for r in sub.collect())
     assert 0 < P.keep_edges(e, 0.5, 1, ["eid"]).count() < e.count()
     assert P.keep_edges(e, 1.0, 1, ["eid"]).count() == 0
+
+
+def test_negatives_of_a_dense_graph_are_as_many_as_there_are(table):
+    e = table([(a, b) for a in range(12) for b in range(12) if (a + b) % 7], "src bigint, dst bigint")
+    free = {(a, b) for a in range(12) for b in range(12) if not (a + b) % 7 and a != b}
+    got = [tuple(r) for r in P.negative_edges(e, len(free), 12, 12, 5).collect()]
+    assert set(got) == free and len(got) == len(free)
+    assert P.negative_edges(e, 500, 12, 12, 5).count() == len(free)
+    assert P.negative_edges(e, 3, 12, 12, 5).count() == 3

@@ -88,3 +88,36 @@ def test_late_rows_and_duplicates(spark, tmp_path):
     s = W.edge_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
     out = W.run_to_table(W.distinct_edges(s, ["src", "dst"], "at", "1 day"), "append")
     assert out.count() <= 2  # within the watermark once, and again long after
+
+
+def test_only_a_missing_file_is_optional(spark, tmp_path):
+    import pytest
+
+    d = put(tmp_path, U_A__txt="1, 2\n", U_graph_indicator__txt="1\n1\n", U_graph_labels__txt="1\n")
+    assert "label" not in R.tu_family(spark, d, "U")[0].columns
+    with pytest.raises(ValueError):
+        R.collect_bounded(spark.range(5), 3, "kinds")
+
+
+def test_data_sets_by_name(spark, tmp_path):
+    import pytest
+
+    from weftgraph.sources import datasets as D
+
+    d = put(tmp_path, out1_node_feature_label__txt="id\tf\ty\n0\t1.0,2.0\t1\n1\t3,4\t0\n", out1_graph_edges__txt="a\tb\n0\t1\n0\t1\n1\t1\n")
+    g = D.load(spark, "texas", d)
+    assert rows(g.nodes) == [(0, [1.0, 2.0], 1), (1, [3.0, 4.0], 0)] and rows(g.edges) == [(0, 1), (1, 1)]
+    assert rows(D.load(spark, "actor", d).nodes.select("id", "x_at")) == [(0, [1, 2]), (1, [3, 4])]
+    np.savez(tmp_path / "facebook.npz", features=[[1.0, 2.0], [0.0, 1.0]], target=[1, 0], edges=[[0, 1], [1, 0], [0, 0]])
+    np.savez(tmp_path / "inj_cora.npz", x=[[1.0], [2.0]], y=[0, 1], edge_index=[[0, 1], [1, 1]])
+    g = D.load(spark, "facebook", d)
+    assert rows(g.nodes) == [(0, [1.0, 2.0], 1), (1, [0.0, 1.0], 0)] and rows(g.edges) == [(0, 0), (0, 1), (1, 0)]
+    assert rows(D.load(spark, "inj_cora", d).edges) == [(0, 1), (1, 1)]
+    put(tmp_path, bail_B1__csv="A,B\n1,x\n", bail_B1_edges__txt="0 1\n0 1\n1 1\n")
+    g = D.load(spark, "bail_B1", d)
+    assert rows(g.edges.select("src", "dst")) == [(0, 1)] and g.nodes.columns == ["A", "B"]
+    for s in range(2):
+        np.savez(tmp_path / f"texas_split_0.6_0.2_{s}.npz", train_mask=[s == 0, True], val_mask=[False, False], test_mask=[s == 1, False])
+    assert rows(D.split_masks(spark, d, "texas", 2)) == [(0, 0, "train"), (0, 1, "test"), (1, 0, "train"), (1, 1, "train")]
+    with pytest.raises(KeyError):
+        D.load(spark, "unknown", d)

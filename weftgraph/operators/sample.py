@@ -113,14 +113,17 @@ def walk_windows(walks: DataFrame, size: int) -> DataFrame:
     )
 
 
-def node2vec_probabilities(edges: DataFrame, p: float, q: float) -> DataFrame:
-    """(prev, cur, nxt, prob): second-order transition probabilities for each edge prev -> cur.
+def node2vec_probabilities(edges: DataFrame, p: float, q: float, states: DataFrame | None = None) -> DataFrame:
+    """(prev, cur, nxt, prob): second-order transition probabilities of the states (prev, cur) asked for.
 
     Weights (summed over equal pairs) count 1/p for the way back, 1 for a common neighbour of
-    prev and 1/q otherwise.  Only states that are edges are formed.
+    prev and 1/q otherwise.  States that are no edges have no rows.  Without `states` all edges
+    are: a node then costs its in-degree times its out-degree, which hubs make very many.
     """
     e = cut(E.coalesce(edges.select("src", "dst", "w")))
     a = e.select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
+    if states is not None:
+        a = a.join(states.select("prev", "cur").distinct(), ["prev", "cur"], "left_semi")
     b = e.select(F.col("src").alias("cur"), F.col("dst").alias("nxt"), "w")
     known = e.select(F.col("src").alias("prev"), F.col("dst").alias("nxt"), F.lit(True).alias("near"))
     t = a.join(b, "cur").join(known, ["prev", "nxt"], "left")

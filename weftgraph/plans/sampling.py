@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.core.session import read
+from weftgraph.core.session import cut, read
 from weftgraph.operators import sample as P
 from weftgraph.operators import split as L
 from weftgraph.operators import traverse as T
@@ -239,7 +239,7 @@ _A = "ad AS (SELECT *, row_number() OVER (ORDER BY rel, src, dst) - 1 AS eid FRO
 
 @R.query("sample_neighbours_typed", V.ctes("a", more=(_A,)) + f"SELECT rel, src, dst, eid FROM (SELECT *, {_rank('dst, rel', 3, 'eid')} AS r FROM ad) WHERE r <= 4")
 def sample_neighbours_typed(spark: Spark, d: str) -> DataFrame:
-    e = V.alircd_every(spark, d).select(F.col("edge_type").alias("rel"), "src", "dst").distinct()
+    e = V.alircd_edges(spark, d).select(F.col("edge_type").alias("rel"), "src", "dst").distinct()
     e = P.with_edge_ids(e, ["rel", "src", "dst"])
     return P.sample_neighbours(e, e.select(F.col("dst").alias("id")).distinct(), 4, 3).select("rel", "src", "dst", "eid")
 
@@ -291,14 +291,19 @@ def walk_windows(spark: Spark, d: str) -> DataFrame:
 
 
 _N2V = (
+    *_NB, *_walk(1, 31),
     "c AS (SELECT src, dst, sum(w) AS w FROM e GROUP BY src, dst)",
-    "tr AS (SELECT a.src AS prev, a.dst AS cur, b.dst AS nxt, b.w * CASE WHEN b.dst = a.src THEN 2.0 WHEN k.src IS NOT NULL THEN 1.0 ELSE 0.25 END AS m FROM c a JOIN c b ON b.src = a.dst LEFT JOIN c k ON k.src = a.src AND k.dst = b.dst)",
+    "tr AS (SELECT a.src AS prev, a.dst AS cur, b.dst AS nxt, b.w * CASE WHEN b.dst = a.src THEN 2.0 WHEN k.src IS NOT NULL THEN 1.0 ELSE 0.25 END AS m FROM (SELECT c.* FROM c JOIN (SELECT DISTINCT w0.id AS prev, w1.id AS cur FROM w0 JOIN w1 ON w1.walk_id = w0.walk_id) s ON s.prev = c.src AND s.cur = c.dst) a JOIN c b ON b.src = a.dst LEFT JOIN c k ON k.src = a.src AND k.dst = b.dst)",
 )
 
 
-@R.query("node2vec_probabilities", V.ctes("e", more=_N2V) + f"SELECT prev, cur, nxt, {V.r('m / sum(m) OVER (PARTITION BY prev, cur)')} AS prob FROM tr")
+@R.query("node2vec_probabilities", V.ctes("e", "n", more=_N2V) + f"SELECT prev, cur, nxt, {V.r('m / sum(m) OVER (PARTITION BY prev, cur)')} AS prob FROM tr")
 def node2vec_probabilities(spark: Spark, d: str) -> DataFrame:
-    return P.node2vec_probabilities(every(spark, d), 0.5, 4.0).withColumn("prob", V.real("prob"))
+    """Of the states in which each node's walk is after its first step."""
+    e = cut(every(spark, d))
+    step = lambda s, c: first.filter(F.col("step") == s).select("walk_id", F.col("id").alias(c))
+    first = P.random_walks(e, _starts(spark, d), 1, 31)
+    return P.node2vec_probabilities(e, 0.5, 4.0, step(0, "prev").join(step(1, "cur"), "walk_id")).withColumn("prob", V.real("prob"))
 
 
 @R.query("node2vec_walks")
@@ -320,7 +325,7 @@ _MP = (
 
 @R.query("metapath_walks", V.ctes("a", more=_MP) + _steps(3))
 def metapath_walks(spark: Spark, d: str) -> DataFrame:
-    e = V.alircd_every(spark, d)
+    e = V.alircd_edges(spark, d)
     starts = e.filter("src_type = 'f'").select(F.col("src").alias("walk_id"), F.col("src").alias("id")).distinct()
     return P.metapath_walks(e.select("src", "dst", F.col("edge_type").alias("rel")), starts, ["B", "B_1"], 3, 41)
 

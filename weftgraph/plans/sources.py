@@ -14,6 +14,7 @@ from weftgraph.core.session import checkpoint_dir, cut
 from weftgraph.operators.segment import with_dense_ids
 from weftgraph.plans import views as V
 from weftgraph.plans.registry import Registry
+from weftgraph.sources import datasets
 from weftgraph.sources import readers as S
 
 R = Registry()
@@ -135,3 +136,44 @@ def source_tu_family(spark: Spark, d: str) -> DataFrame:
     put(e.select((F.col("s") + 1).alias("s"), (F.col("t") + 1).alias("t")), f"{at}/T_A.txt", "s", "t", sep=", ")
     put(nodes.groupBy("gn").agg(F.count(F.lit(1)).alias("y")).orderBy("gn"), f"{at}/T_graph_labels.txt", "y")
     return S.tu_family(spark, at, "T")[1]
+
+
+@R.query("source_geom_gcn_nodes", V.ctes("x", "y") + f"SELECT x.id, unnest(range(1, 5)) AS k, unnest(list_transform(x.x, lambda c: {V.r('c')})) AS value, y FROM x JOIN y ON y.id = x.id")
+def source_geom_gcn_nodes(spark: Spark, d: str) -> DataFrame:
+    return V.long(_geom(spark, d).nodes, keys=("id", "y")).select("id", "k", "value", "y")
+
+
+@R.query("source_geom_gcn_edges", V.ctes("e") + "SELECT DISTINCT src, dst FROM e")
+def source_geom_gcn_edges(spark: Spark, d: str) -> DataFrame:
+    return _geom(spark, d).edges
+
+
+def _geom(spark: Spark, d: str):
+    """The graph as the files of that family, whose first lines are headers."""
+    at = folder(spark)
+    nodes = V.features(spark, d).join(V.labels(spark, d), "id").withColumn("v", F.array_join(F.transform("x", lambda c: c.cast("string")), ","))
+    head = spark.createDataFrame([("node_id", "feature", "label")], "id string, v string, y string")
+    put(head.unionByName(nodes.select(F.col("id").cast("string"), "v", F.col("y").cast("string"))), f"{at}/out1_node_feature_label.txt", "id", "v", "y", sep="\t")
+    put(spark.createDataFrame([("node_id", "node_id")], "src string, dst string").unionByName(V.edges(spark, d).select(F.col("src").cast("string"), F.col("dst").cast("string"))), f"{at}/out1_graph_edges.txt", "src", "dst", sep="\t")
+    return datasets.load(spark, "cornell", at)
+
+
+@R.query("source_movielens", V.ctes("e") + f"SELECT src - 1 AS src, dst - 1 AS dst, {V.r('w')} AS w FROM e")
+def source_movielens(spark: Spark, d: str) -> DataFrame:
+    """Edges as ratings under typed headers."""
+    at = folder(spark)
+    e = V.edges(spark, d)
+    write = lambda df, part: df.write.option("sep", "\t").option("header", True).csv(f"{at}/ml-100k.{part}")
+    write(e.select(F.col("src").alias("user_id:token"), F.col("dst").alias("item_id:token"), F.col("w").alias("rating:float")), "inter")
+    write(e.select(F.col("src").alias("user_id:token")).distinct(), "user")
+    write(e.select(F.col("dst").alias("item_id:token")).distinct(), "item")
+    return datasets.load(spark, "ml-100k", at).edge_table("rates").withColumn("w", V.real("w"))
+
+
+@R.query("source_polblogs", V.ctes("y") + "SELECT row_number() OVER (ORDER BY id) - 1 AS id, y FROM y")
+def source_polblogs(spark: Spark, d: str) -> DataFrame:
+    """Classes by line."""
+    at = folder(spark)
+    put(V.labels(spark, d).orderBy("id"), f"{at}/labels.tsv", "y")
+    put(V.edges(spark, d), f"{at}/adjacency.tsv", "src", "dst", sep="\t")
+    return datasets.load(spark, "polblogs", at).nodes
