@@ -217,6 +217,14 @@ def _best(row: np.ndarray, col: np.ndarray, value: np.ndarray, k: int) -> np.nda
     return order[np.arange(len(row)) - np.searchsorted(sorted_row, sorted_row) < k]
 
 
+def _all_scored(q: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, product) of the `most` best items of each row, all scored."""
+    score = q @ x.T
+    most = min(most, len(x))
+    c = np.argpartition(-score, most - 1, axis=1)[:, :most]
+    return np.repeat(np.arange(len(q)), most), c.ravel(), np.take_along_axis(score, c, 1).ravel()
+
+
 def _score(books_cast, spare: int, min_cos: float, near_copy: float = 0.9):
     """For applyInPandas: the items and queries of a block -> the `spare` best items of each query in it."""
     close = min_cos >= near_copy
@@ -256,9 +264,7 @@ def _score(books_cast, spare: int, min_cos: float, near_copy: float = 0.9):
                     if close:
                         r, c = np.nonzero(score + rest[at] >= min_cos - 1e-3)
                         if len(r) > 0.05 * score.size:  # a dense group
-                            score = part[row] @ x[at].T
-                            r, c = np.nonzero(score >= min_cos - 1e-4)
-                            value = score[r, c]
+                            r, c, value = _all_scored(part[row], x[at], spare + 1)  # one may be itself
                         else:
                             value = np.concatenate([np.einsum("nd,nd->n", part[row[r[i : i + 100_000]]], x[at][c[i : i + 100_000]]) for i in range(0, len(r), 100_000)] or [np.zeros(0, np.float32)])
                     else:
@@ -269,10 +275,9 @@ def _score(books_cast, spare: int, min_cos: float, near_copy: float = 0.9):
                         r = np.repeat(np.arange(len(row)), short)
                         c, value = c.ravel(), value.ravel()
                         if len(full):
-                            again = part[row[full]] @ x[at].T
+                            again, at_c, at_v = _all_scored(part[row[full]], x[at], spare + 1)
                             keep = ~np.isin(r, full)
-                            r, c = np.r_[r[keep], np.repeat(full, again.shape[1])], np.r_[c[keep], np.tile(np.arange(again.shape[1]), len(full))]
-                            value = np.r_[value[keep], again.ravel()]
+                            r, c, value = np.r_[r[keep], full[again]], np.r_[c[keep], at_c], np.r_[value[keep], at_v]
                     q, i = row[r], start[n] + c
                     keep = (value >= min_cos - 1e-4) & (ids[a + q] != own[i])
                     q, i, value = q[keep], i[keep], value[keep]
