@@ -56,6 +56,25 @@ def test_block_model(spark):
     assert e.filter("src >= dst or src < 0 or dst >= 50").count() == 0 and e.count() > 100
 
 
+def test_block_model_of_large_blocks(spark):
+    e = P.block_model(spark, [60_000, 5], [[2e-7, 0.0], [0.0, 1.0]], 1)
+    big = e.filter("dst < 60000")
+    assert 340 < big.count() <= 360 and big.filter("src >= dst or src < 0").count() == 0
+    assert e.filter("dst >= 60000").filter("src < 60000 or src >= dst or dst >= 60005").count() == 0
+    assert P.block_model(spark, [], [], 1).count() == 0
+
+
+def test_numbers_of_edges_of_large_graphs(table):
+    from weftgraph.operators.edges import edge_of_number
+
+    n = 10**8  # row starts of this size are no exact doubles
+    start = lambda r: r * (2 * n - r - 1) // 2
+    rows = [0, 1, n // 3, n // 2 + 1, n - 3]
+    t = table([(r, start(r) + x) for r in rows for x in (0, 1)], "r bigint, k bigint")
+    s, d = edge_of_number(F.col("k"), n, "undirected")
+    assert sorted(tuple(x) for x in t.select(s, d).collect()) == sorted((r, r + 1 + x) for r in rows for x in (0, 1))
+
+
 def test_splits(table):
     y = table([(i, i % 3) for i in range(1000)], "id bigint, y bigint")
     parts = {r["part"]: r["count"] for r in L.random_split(y, {"train": 0.6, "val": 0.2, "test": 0.2}, 0).groupBy("part").count().collect()}
