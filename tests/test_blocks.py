@@ -40,3 +40,22 @@ def test_transition_does_not_shuffle_partial_products(table, monkeypatch):
     assert "Aggregate" not in _plan(p)
     assert rows(p) == [(1, 10, 0.8125), *[(1, j, 0.0625) for j in (11, 12, 13)], *[(i, j, 0.25) for i in (2, 3, 4) for j in range(10, 14)]]
     assert rows(S.transition([a, b, b])) == []
+
+
+def test_target_matrix_does_not_shuffle_partial_products(table):
+    e = table([(1, 2, 1.0), (1, 1, 3.0), (2, 3, 2.0), (2, 1, 2.0)], "src bigint, dst bigint, w double")
+    m = X.target_matrix(e)
+    assert "Aggregate" not in _plan(m)
+    p = np.array([[0.75, 0.25, 0], [0.5, 0, 0.5], [0, 0, 0]])
+    want = (p + p @ p) / 2
+    assert rows(m) == [(i + 1, j + 1, want[i, j]) for i, j in zip(*np.nonzero(want))]
+
+
+def test_paths_do_not_expand_hubs(table, monkeypatch):
+    """A hub of 300 in- and out-edges lies on the way; only what may reach the ends is formed."""
+    made, cut = [], T.cut
+    monkeypatch.setattr(T, "cut", lambda df: made.append(x := cut(df)) or x)
+    e = [(1, 0), *[(0, i) for i in range(2, 302)], *[(i, 0) for i in range(2, 302)], *[(i, i + 1) for i in range(2, 301)], (301, 500)]
+    got = T.simple_paths(table(e, "src bigint, dst bigint"), table([(1, 500), (1, 1), (1, 600)], "src bigint, dst bigint"), 5)
+    assert [r["path"] for r in got.orderBy("src", "dst", "path").collect()] == [[1], [1, 0, 300, 301, 500], [1, 0, 301, 500]]
+    assert max(x.count() for x in made) <= 901 and sum(x.count() for x in made[1:]) < 1600
