@@ -59,3 +59,23 @@ def test_paths_do_not_expand_hubs(table, monkeypatch):
     got = T.simple_paths(table(e, "src bigint, dst bigint"), table([(1, 500), (1, 1), (1, 600)], "src bigint, dst bigint"), 5)
     assert [r["path"] for r in got.orderBy("src", "dst", "path").collect()] == [[1], [1, 0, 300, 301, 500], [1, 0, 301, 500]]
     assert max(x.count() for x in made) <= 901 and sum(x.count() for x in made[1:]) < 1600
+
+
+def test_induced_edges_are_not_expanded_from_hubs(table):
+    """A hub of 400 edges each way is in all 50 key combinations, its neighbours in one each."""
+    e = [(0, i) for i in range(1, 401)] + [(i, 0) for i in range(1, 401)] + [(i, i + 1) for i in range(1, 400)]
+    held = [(b, 0) for b in range(50)] + [(b, b * 8 + i) for b in range(50) for i in range(1, 9)]
+    nodes = table(held, "b bigint, id bigint")
+    got = T.induced(table(e, "src bigint, dst bigint"), nodes, ["b"])
+    own = set(held)
+    assert rows(got.select("b", "src", "dst")) == sorted((b, x, y) for b in range(50) for x, y in e if (b, x) in own and (b, y) in own)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan()
+    made, nodes_ = [], [plan.executedPlan() if hasattr(plan, "executedPlan") else plan]
+    while nodes_:
+        x = nodes_.pop()
+        if "Join" in x.nodeName():
+            made.append(x.metrics().apply("numOutputRows").value())
+        inner = [x.children().apply(i) for i in range(x.children().size())]
+        nodes_ += inner or ([x.plan()] if "QueryStage" in x.nodeName() else [])
+    assert 0 < sum(made) < 4000
