@@ -79,3 +79,30 @@ def test_induced_edges_are_not_expanded_from_hubs(table):
         inner = [x.children().apply(i) for i in range(x.children().size())]
         nodes_ += inner or ([x.plan()] if "QueryStage" in x.nodeName() else [])
     assert 0 < sum(made) < 4000
+
+
+def _joined(df):
+    """Rows that the joins of a plan gave, in all."""
+    df.collect()
+    todo, made = [df._jdf.queryExecution().executedPlan().executedPlan()], 0
+    while todo:
+        x = todo.pop()
+        made += x.metrics().apply("numOutputRows").value() if "Join" in x.nodeName() else 0
+        todo += [x.children().apply(i) for i in range(x.children().size())] or ([x.plan()] if "QueryStage" in x.nodeName() else [])
+    return made
+
+
+def test_transitions_of_hubs_are_formed_once(table, monkeypatch):
+    from weftgraph.operators import sample as P
+
+    monkeypatch.setattr(P, "TRANSITIONS", 500)  # the hub comes in several parts
+    e = [(0, i) for i in range(1, 61)] + [(i, 0) for i in range(1, 61)] + [(i, i + 1) for i in range(1, 60)]
+    w = {x: 1.0 + (x[0] + x[1]) % 3 for x in e}
+    m = {(a, b, c): w[b, c] * (2.0 if c == a else 1.0 if (a, c) in w else 0.25) for a, b in e for c in range(61) if (b, c) in w}
+    total = {}
+    for (a, b, _), v in m.items():
+        total[a, b] = total.get((a, b), 0.0) + v
+    got = P.node2vec_probabilities(table([(*x, v) for x, v in w.items()], "src bigint, dst bigint, w double"), 0.5, 4.0)
+    probs = {tuple(r)[:3]: r["prob"] for r in got.collect()}
+    assert set(probs) == set(m) and all(abs(probs[k] - v / total[k[:2]]) < 1e-12 for k, v in m.items())
+    assert _joined(got) < 1.7 * len(m)
