@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from weftgraph.core.session import cut
 from weftgraph.nn import layers as L
 from weftgraph.nn import models as M
 from weftgraph.operators import features as X
@@ -60,3 +61,12 @@ def test_edge_posterior(table):
     c = table([(0, 1, 5, 5), (1, 2, 4, 5), (2, 3, 0, 5), (3, 0, 1, 5)], "src bigint, dst bigint, seen bigint, tries bigint")
     q = {(r["src"], r["dst"]): r["q"] for r in M.edge_posterior(c, table([(i, 0) for i in range(4)], "id bigint, y bigint"), 5).collect()}
     assert q[0, 1] > 0.9 > 0.1 > q[2, 3] and all(0 <= v <= 1 for v in q.values())
+
+
+def test_estimates_of_sizes_do_not_grow_over_rounds(table):
+    e = table([(i, i + 1) for i in range(20)], "v bigint, up bigint")
+    for _ in range(5):  # pointers are doubled
+        up = e.selectExpr("v as up", "up as higher")
+        e = cut(e.join(up, "up").selectExpr("v", "up").join(e.selectExpr("v", "up as again"), "v").select("v", "up"))
+        assert "E+" not in e._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    assert e.count() == 15
