@@ -106,3 +106,19 @@ def test_transitions_of_hubs_are_formed_once(table, monkeypatch):
     probs = {tuple(r)[:3]: r["prob"] for r in got.collect()}
     assert set(probs) == set(m) and all(abs(probs[k] - v / total[k[:2]]) < 1e-12 for k, v in m.items())
     assert _joined(got) < 1.7 * len(m)
+
+
+def test_edges_of_hubs_go_to_few_parts(table, monkeypatch):
+    """By TRANSITIONS alone the hub's 60 edges would go to a part for each of its 60 states."""
+    from weftgraph.operators import sample as P
+
+    monkeypatch.setattr(P, "TRANSITIONS", 60)
+    e = table([(0, i, 1.0) for i in range(1, 61)] + [(i, 0, 1.0) for i in range(1, 61)] + [(1, 1, 2.0)], "src bigint, dst bigint, w double")
+    got = P.node2vec_probabilities(e, 0.5, 4.0)
+    assert len(got.collect()) == 60 * 60 + 59 + 2 + 2
+    todo, sent = [got._jdf.queryExecution().executedPlan().executedPlan()], 0
+    while todo:
+        x = todo.pop()
+        sent += x.metrics().apply("numOutputRows").value() if x.nodeName() == "Generate" else 0
+        todo += [x.children().apply(i) for i in range(x.children().size())] or ([x.plan()] if "QueryStage" in x.nodeName() else [])
+    assert 121 < sent < 2000
