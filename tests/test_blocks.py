@@ -122,3 +122,14 @@ def test_edges_of_hubs_go_to_few_parts(table, monkeypatch):
         sent += x.metrics().apply("numOutputRows").value() if x.nodeName() == "Generate" else 0
         todo += [x.children().apply(i) for i in range(x.children().size())] or ([x.plan()] if "QueryStage" in x.nodeName() else [])
     assert 121 < sent < 2000
+
+
+def test_left_rows_of_a_cell_pass_in_runs(monkeypatch):
+    """Results come before the last left row is read; a src that fills more than a run is one row."""
+    monkeypatch.setattr(B, "RUN", 4)
+    right = [(False, k, 7, 1.0) for k in range(3)]
+    left = [(True, 0, 0, 1.0), *[(True, 1, k % 3, 1.0) for k in range(20)], *[(True, i, 0, 1.0) for i in range(2, 30)]]
+    table, read = pa.table(dict(zip(("left", "src", "dst", "p"), map(list, zip(*right, *left))))), []
+    got = B._cell(read.append(b) or b for b in table.to_batches(max_chunksize=3))
+    assert next(got).to_pylist()[0] == {"src": 0, "dst": 7, "p": 1.0} and len(read) < 5
+    assert [(x["src"], x["p"]) for b in got for x in b.to_pylist()] == [(i, 20.0 if i == 1 else 1.0) for i in range(1, 30)]
